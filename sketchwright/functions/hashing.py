@@ -162,10 +162,8 @@ def canonical_bits(c: Column) -> Column:
 
     @F.pandas_udf("long")
     def bits(values: pd.Series) -> pd.Series:
-        there = values.notna() | np.isnan(values.to_numpy(dtype="float64", na_value=0.0))
-        x = values.to_numpy(dtype="float64", na_value=0.0) + 0.0
-        x = np.where(np.isnan(x), np.nan, x)
-        return pd.Series(np.where(np.isnan(x), np.int64(0x7FF8000000000000), x.view(np.int64)), dtype="Int64").where(pd.Series(there))
+        x = values.to_numpy(dtype="float64", na_value=np.nan) + 0.0
+        return pd.Series(np.where(np.isnan(x), np.int64(0x7FF8000000000000), x.view(np.int64)))
 
     return F.when(c.isNotNull(), bits(c.cast("double")))
 

@@ -204,7 +204,7 @@ def merge(*states: DataFrame, by: Sequence[str] = (), k: int = DEFAULT_K) -> Dat
 
     sliced = rows.withColumn("__slice", F.pmod(F.xxhash64("min", "max", "weight"), F.lit(MERGE_ROWS)))
     part = sliced.groupBy(*by, "__slice").applyInPandas(fold, schema)
-    return part.groupBy(*by).applyInPandas(fold, schema) if by else part.groupBy(F.lit(0)).applyInPandas(lambda key, group: fold((), group), schema)
+    return part.groupBy(*by).applyInPandas(fold, schema)
 
 
 def _ask(state: DataFrame, points: Sequence[float], kind: str, ask) -> Column:

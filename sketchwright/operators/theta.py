@@ -44,41 +44,52 @@ def hashed(df: DataFrame, key: str, seed: int = DEFAULT_SEED, skip_empty: bool =
 
 
 def _trim(rows: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
-    """rows: by, hash (distinct in a group, or null), theta, is_empty, lg_k, carried -> trimmed state."""
+    """rows: by, hash (distinct in a group, or null), theta, is_empty, lg_k, carried -> trimmed state, a null row only where nothing is kept."""
     order = Window.partitionBy(*by).orderBy(F.col("hash").asc_nulls_last())
     group = Window.partitionBy(*by)
     k = F.pow(F.lit(2), F.col("lg_k")).cast("int")
-    ranked = rows.withColumn("__rank", F.row_number().over(order))
-    ranked = ranked.withColumn("__cut", F.min(F.when((F.col("__rank") == k + 1) & F.col("hash").isNotNull(), F.col("hash"))).over(group))
+    below = F.when(F.col("hash") < F.col("theta"), F.col("hash"))
+    ranked = rows.withColumn("hash", below).withColumn("__rank", F.row_number().over(order))
+    ranked = ranked.withColumn("__cut", F.min(F.when(F.col("__rank") == k + 1, F.col("hash"))).over(group))
     ranked = ranked.withColumn("theta", F.least("theta", F.coalesce("__cut", F.lit(MAX_THETA))))
-    kept = ranked.where("(hash < theta) or __rank = 1")
+    kept = ranked.where("hash < theta or __rank = 1")
     return kept.select(*by, F.when(F.col("hash") < F.col("theta"), F.col("hash")).alias("hash"), "theta", "is_empty", "lg_k", *carried)
 
 
+def _sampled(rows: DataFrame, by: Sequence[str], lg_k: int, p: float, prefilter: bool) -> tuple[DataFrame, DataFrame]:
+    """(groups, below): by, theta, is_empty of each group, and the rows whose hash is under its theta.
+
+    One aggregate with map-side combine estimates each group's distinct hashes; those far above the k-th
+    smallest are dropped before anything is shuffled by hash. What this hint cuts off is a group's theta
+    where fewer than k hashes are left, so the state is a right sample in any case.
+    """
+    theta0, k = start_theta(p), 1 << lg_k
+    counted = (F.col("hash") > 0) & (F.col("hash") < theta0)
+    sizes = [F.approx_count_distinct(F.when(counted, F.col("hash")), 0.02).alias("__n")] if prefilter else [F.lit(0).alias("__n")]
+    groups = rows.groupBy(*by).agg((F.count("hash") == 0).alias("is_empty"), *sizes)
+    hint = F.when(F.col("__n") > 4 * k, (F.lit(float(theta0)) * (SLACK * k) / F.col("__n")).cast("long")).otherwise(F.lit(theta0))
+    theta = F.when(F.col("is_empty"), F.lit(MAX_THETA)).otherwise(hint)
+    groups = groups.select(*by, theta.alias("theta"), "is_empty")
+    if prefilter:
+        below = _joined(rows.where(counted), groups, by, "inner").where("hash < theta")
+    else:
+        below = rows.where(counted).withColumns({"theta": F.lit(theta0), "is_empty": F.lit(False)})
+    return groups, below
+
+
 def build(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT_LG_K, p: float = 1.0, seed: int = DEFAULT_SEED, prefilter: bool = True, skip_empty: bool = True) -> DataFrame:
     """The state of the distinct keys of each group. Null keys are not counted; a group with none is empty."""
     check_lg_k(lg_k)
     seed_hash(seed)
-    theta0 = start_theta(p)
     rows = hashed(df.select(*by, F.col(key).alias("__key")), "__key", seed, skip_empty).select(*by, "hash")
-    groups = rows.groupBy(*by).agg((F.count("hash") == 0).alias("is_empty"))
-    below = rows.where((F.col("hash") > 0) & (F.col("hash") < theta0))
-    if prefilter:
-        k = 1 << lg_k
-        sizes = below.groupBy(*by).agg(F.approx_count_distinct("hash", 0.02).alias("__n"))
-        hint = F.when(F.col("__n") > 4 * k, (F.lit(float(theta0)) * (SLACK * k) / F.col("__n")).cast("long")).otherwise(F.lit(theta0))
-        groups = _joined(groups, sizes.select(*by, hint.alias("theta")), by).withColumn("theta", F.coalesce("theta", F.lit(theta0)))
-        below = _joined(below, groups, by, "inner").where("hash < theta").select(*by, "hash")
-    else:
-        groups = groups.withColumn("theta", F.lit(theta0))
-    distinct = below.distinct()
-    state = _joined(groups, distinct, by)
-    theta = F.when(F.col("is_empty"), F.lit(MAX_THETA)).otherwise(F.col("theta"))
-    return _trim(state.select(*by, "hash", theta.alias("theta"), "is_empty", F.lit(lg_k).alias("lg_k")), by)
+    groups, below = _sampled(rows, by, lg_k, p, prefilter)
+    distinct = below.select(*by, "hash", "theta", "is_empty").distinct()
+    state = distinct.unionByName(groups.withColumn("hash", F.lit(None).cast("long")))
+    return _trim(state.withColumn("lg_k", F.lit(lg_k)), by)
 
 
 def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
-    """Joins on the group columns, nulls equal; without group columns one side is a single row."""
+    """Joins on the group columns, nulls equal; without group columns b is a single row."""
     if not by:
         return a.join(b, F.lit(True), how)
     right = b.select(*[F.col(c).alias(f"__r_{c}") for c in by], *[c for c in b.columns if c not in by])
@@ -86,76 +97,76 @@ def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") ->
     return a.join(right, on, how).drop(*[f"__r_{c}" for c in by])
 
 
-def _tagged(states: Sequence[DataFrame]) -> DataFrame:
-    out = None
-    for i, s in enumerate(states):
-        one = s.withColumn("__in", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
-
+def _met(states: Sequence[DataFrame], by: Sequence[str], carried: Sequence = ()) -> DataFrame:
+    """A row for each group and hash of any input: by, hash, in (bit i: input i), and facts over the group.
 
-def _group_facts(rows: DataFrame, by: Sequence[str], lg_k: int | None) -> DataFrame:
-    """theta, emptiness and size of the inputs of each group; empty inputs have no say."""
-    full = ~F.col("is_empty")
-    return rows.groupBy(*by).agg(
-        F.min(F.when(full, F.col("theta"))).alias("theta"),
-        F.min("is_empty").alias("is_empty"),
-        (F.lit(lg_k) if lg_k else F.min("lg_k")).alias("lg_k"),
-    ).withColumn("theta", F.coalesce("theta", F.lit(MAX_THETA)))
+    any (bit i: input i has the group), theta and theta0, theta1 (least of all, of input 0 and 1, empty inputs
+    left out), empty (bit i: input i is empty), lg_k. The inputs are read once; a group's rows, at most 2^lg_k for
+    each state merged into it, meet in one window.
+    """
+    rows = None
+    for i, s in enumerate(states):
+        one = s.withColumn("__i", F.lit(1 << i).cast("long"))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    full = F.when(~F.col("is_empty"), F.col("theta"))
+    each = rows.groupBy(*by, "hash").agg(
+        F.bit_or("__i").alias("in"),
+        F.min(full).alias("__t"),
+        *[F.min(F.when(F.col("__i") == 1 << i, full)).alias(f"__t{i}") for i in (0, 1)],
+        F.bit_or(F.when(F.col("is_empty"), F.lit(0)).otherwise(F.col("__i"))).alias("__f"),
+        F.min("lg_k").alias("__k"),
+        *carried,
+    )
+    group = Window.partitionBy(*by)
+    return each.withColumns(
+        {
+            "any": F.bit_or("in").over(group),
+            "full": F.bit_or("__f").over(group),
+            "theta": F.coalesce(F.min("__t").over(group), F.lit(MAX_THETA)),
+            **{f"theta{i}": F.coalesce(F.min(f"__t{i}").over(group), F.lit(MAX_THETA)) for i in (0, 1)},
+            "lg_k": F.min("__k").over(group),
+        }
+    ).drop("__t", "__t0", "__t1", "__f", "__k")
 
 
 def union(*states: DataFrame, by: Sequence[str] = (), lg_k: int | None = None) -> DataFrame:
     """Keys of any input. Also merges a finer state's groups: give the coarser `by`."""
-    rows = _tagged(states)
-    facts = _group_facts(rows, by, lg_k and check_lg_k(lg_k))
-    hashes = rows.where("hash is not null").select(*by, "hash").distinct()
-    joined = _joined(facts, hashes, by)
-    joined = joined.withColumn("hash", F.when(F.col("hash") < F.col("theta"), F.col("hash")))
+    rows = _met(states, by)
+    size = F.lit(check_lg_k(lg_k)) if lg_k else F.col("lg_k")
+    return _trim(rows.select(*by, "hash", "theta", (F.col("full") == 0).alias("is_empty"), size.alias("lg_k")), by)
+
+
+def _settled(rows: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """rows with hash null where dropped -> state; exact and without keys is empty."""
+    group = Window.partitionBy(*by)
     first = Window.partitionBy(*by).orderBy(F.col("hash").asc_nulls_last())
-    joined = joined.withColumn("__first", F.row_number().over(first)).where("hash is not null or __first = 1").drop("__first")
-    return _trim(joined.select(*by, "hash", "theta", "is_empty", "lg_k"), by)
+    gone = F.col("is_empty") | ((F.count("hash").over(group) == 0) & (F.col("theta") == MAX_THETA))
+    rows = rows.withColumn("is_empty", gone).withColumn("__first", F.row_number().over(first)).where("hash is not null or __first = 1")
+    theta = F.when(F.col("is_empty"), F.lit(MAX_THETA)).otherwise(F.col("theta"))
+    return rows.select(*by, "hash", theta.alias("theta"), "is_empty", "lg_k", *carried)
 
 
-def intersection(*states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Keys of all inputs; a group that an input lacks is left out."""
+def intersection(*states: DataFrame, by: Sequence[str] = (), carried: dict[str, Column] | None = None) -> DataFrame:
+    """Keys of all inputs; a group that an input lacks is left out. carried: aggregates over a key's rows, by name."""
     if not states:
         raise SketchArgumentError("an intersection needs an input")
-    rows = _tagged(states)
-    facts = rows.groupBy(*by).agg(F.min("theta").alias("theta"), F.max("is_empty").alias("is_empty"), F.min("lg_k").alias("lg_k"), F.countDistinct("__in").alias("__n"))
-    facts = facts.where(F.col("__n") == len(states)).drop("__n")
-    both = rows.where("hash is not null").groupBy(*by, "hash").agg(F.count("*").alias("__n")).where(F.col("__n") == len(states)).select(*by, "hash")
-    joined = _joined(facts, both, by)
-    kept = F.when((F.col("hash") < F.col("theta")) & ~F.col("is_empty"), F.col("hash"))
-    joined = joined.withColumn("hash", kept)
-    any_kept = F.count("hash").over(Window.partitionBy(*by)) > 0
-    gone = F.col("is_empty") | (~any_kept & (F.col("theta") == MAX_THETA))  # exact and disjoint: certainly empty
-    joined = joined.select(*by, "hash", F.when(gone, F.lit(MAX_THETA)).otherwise(F.col("theta")).alias("theta"), gone.alias("is_empty"), "lg_k")
-    return _one_null(joined, by)
-
-
-def _one_null(rows: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
-    first = Window.partitionBy(*by).orderBy(F.col("hash").asc_nulls_last())
-    return rows.withColumn("__first", F.row_number().over(first)).where("hash is not null or __first = 1").drop("__first")
+    every = (1 << len(states)) - 1
+    names = list(carried or {})
+    rows = _met(states, by, [c.alias(n) for n, c in (carried or {}).items()]).where(F.col("any") == every)
+    kept = (F.col("in") == every) & (F.col("full") == every) & (F.col("hash") < F.col("theta"))
+    rows = rows.select(*by, F.when(kept, F.col("hash")).alias("hash"), "theta", (F.col("full") != every).alias("is_empty"), "lg_k", *[F.when(kept, F.col(c)).alias(c) for c in names])
+    return _settled(rows, by, names)
 
 
 def a_not_b(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Keys of a that b lacks; carried columns of a stay. Groups that b lacks are a's."""
+    """Keys of a that b lacks; further columns of a stay. Groups that b lacks are a's."""
     extra = [c for c in a.columns if c not in (*by, "hash", "theta", "is_empty", "lg_k")]
-    facts = b.groupBy(*by).agg(F.min("theta").alias("__theta"), F.min("is_empty").alias("__none"))
-    out = _joined(a, facts, by)
-    keys = b.where("hash is not null").select(*by, "hash").withColumn("__hit", F.lit(True))
-    if by:
-        right = keys.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("hash").alias("__r_hash"), "__hit")
-        out = out.join(right, [out["hash"] == right["__r_hash"], *[out[c].eqNullSafe(right[f"__r_{c}"]) for c in by]], "left").drop("__r_hash", *[f"__r_{c}" for c in by])
-    else:
-        out = out.join(keys, "hash", "left")
-    untouched = F.col("is_empty") | F.coalesce(F.col("__none"), F.lit(True))
-    theta = F.when(untouched, F.col("theta")).otherwise(F.least("theta", "__theta"))
-    kept = F.when((F.col("hash") < theta) & F.col("__hit").isNull(), F.col("hash"))
-    out = out.select(*by, kept.alias("hash"), theta.alias("theta"), "is_empty", "lg_k", *extra)
-    any_kept = F.count("hash").over(Window.partitionBy(*by)) > 0
-    out = out.withColumn("is_empty", F.col("is_empty") | (~any_kept & (F.col("theta") == MAX_THETA)))
-    return _one_null(out, by)
+    b = b.select(*by, "hash", "theta", "is_empty", "lg_k")
+    rows = _met([a, b], by, [F.first(c, True).alias(c) for c in extra]).where(F.col("any").bitwiseAND(1) == 1)
+    theta = F.when(F.col("full") == 3, F.col("theta")).otherwise(F.col("theta0"))
+    kept = (F.col("in") == 1) & (F.col("hash") < theta)
+    rows = rows.select(*by, F.when(kept, F.col("hash")).alias("hash"), theta.alias("theta"), (F.col("full").bitwiseAND(1) == 0).alias("is_empty"), "lg_k", *[F.when(kept, F.col(c)).alias(c) for c in extra])
+    return _settled(rows, by, extra)
 
 
 def fraction(theta: Column) -> Column:
@@ -186,58 +197,41 @@ def bounds(state: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> Da
 def jaccard(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """lower, estimate and upper of |A and B| / |A or B| at two deviations.
 
-    Two empty sets are alike, an empty and another one are not. Shares are counted among the keys of
-    the union's sample, which is wide enough to hold both inputs.
+    Two empty sets are alike, an empty and another one are not. Shares are counted among the keys under
+    the lesser theta. A group that one side lacks is empty there.
     """
-    sa, sb = summary(a, by), summary(b, by)
-    sizes = _joined(
-        sa.select(*by, F.col("retained").alias("__na"), F.col("is_empty").alias("__ea"), F.col("theta").alias("__ta")),
-        sb.select(*by, F.col("retained").alias("__nb"), F.col("is_empty").alias("__eb"), F.col("theta").alias("__tb")),
-        by,
-        "full",
-    ) if not by else _full(sa, sb, by)
-    u = _tagged([a, b]).where("hash is not null").groupBy(*by, "hash").agg(F.count("*").alias("__n"))
-    joined = _joined(sizes.withColumn("__t", F.least("__ta", "__tb")), u, by)
-    inside = joined.groupBy(*by, "__na", "__nb", "__ea", "__eb", "__ta", "__tb", "__t").agg(
-        F.count_if(F.col("hash") < F.col("__t")).alias("__whole"),
-        F.count_if((F.col("hash") < F.col("__t")) & (F.col("__n") == 2)).alias("__inside"),
+    keys = [s.select(*by, "hash", "theta", "is_empty", "lg_k") for s in (a, b)]
+    there = F.col("hash") < F.col("theta")
+    facts = _met(keys, by).groupBy(*by).agg(
+        F.count_if(there).alias("whole"),
+        F.count_if(there & (F.col("in") == 3)).alias("inside"),
+        F.count_if(F.col("hash").isNotNull()).alias("kept"),
+        F.min("full").alias("full"),
+        F.min("theta").alias("theta"),
+        F.max(F.greatest("theta0", "theta1")).alias("most"),
     )
 
     @F.pandas_udf("lower double, estimate double, upper double")
-    def run(inside: pd.Series, whole: pd.Series, na: pd.Series, nb: pd.Series, ea: pd.Series, eb: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
+    def run(inside: pd.Series, whole: pd.Series, kept: pd.Series, full: pd.Series, theta: pd.Series, most: pd.Series) -> pd.DataFrame:
         out = []
-        for i, w, n, m, x, y, t, s in zip(inside, whole, na, nb, ea, eb, ta, tb):
-            if x and y:
-                out.append((1.0, 1.0, 1.0))
-            elif x or y:
-                out.append((0.0, 0.0, 0.0))
-            elif i == w == n == m and t == s:
-                out.append((1.0, 1.0, 1.0))
+        for i, w, n, f, t, m in zip(inside, whole, kept, full, theta, most):
+            if f != 3:
+                out.append((1.0,) * 3 if f == 0 else (0.0,) * 3)
+            elif i == w == n and t == m:
+                out.append((1.0,) * 3)
             else:
-                out.append(ratio_bounds(int(i), int(w), min(t, s) / MAX_THETA))
+                out.append(ratio_bounds(int(i), int(w), int(t) / MAX_THETA))
         return pd.DataFrame(out, columns=["lower", "estimate", "upper"])
 
-    found = run("__inside", "__whole", "__na", "__nb", "__ea", "__eb", "__ta", "__tb")
-    return inside.withColumn("__j", found).select(*by, F.col("__j.lower").alias("lower"), F.col("__j.estimate").alias("estimate"), F.col("__j.upper").alias("upper"))
-
-
-def _full(sa: DataFrame, sb: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Groups of either side; the one that is missing is empty."""
-    left = sa.select(*by, F.struct("retained", "is_empty", "theta").alias("s"), F.lit(0).alias("side"))
-    right = sb.select(*by, F.struct("retained", "is_empty", "theta").alias("s"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).groupBy(*by).agg(*[F.first(F.when(F.col("side") == i, F.col("s")), True).alias(f"s{i}") for i in (0, 1)])
-    names = {"retained": "n", "is_empty": "e", "theta": "t"}
-    empty = {"retained": F.lit(0).cast("long"), "is_empty": F.lit(True), "theta": F.lit(MAX_THETA)}
-    return rows.select(*by, *[F.coalesce(F.col(f"s{i}.{f}"), empty[f]).alias(f"__{names[f]}{side}") for i, side in ((0, "a"), (1, "b")) for f in names])
+    found = facts.withColumn("__j", run("inside", "whole", "kept", "full", "theta", "most"))
+    return found.select(*by, F.col("__j.lower").alias("lower"), F.col("__j.estimate").alias("estimate"), F.col("__j.upper").alias("upper"))
 
 
 def exactly_equal(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """is_equal for each group: the same retained hashes, theta and emptiness."""
-    rows = _tagged([a, b])
-    facts = rows.groupBy(*by).agg((F.countDistinct("__in") == 2).alias("__both"), (F.countDistinct("theta", "is_empty") == 1).alias("__same"))
-    odd = rows.where("hash is not null").groupBy(*by, "hash").agg(F.count("*").alias("__n")).where("__n <> 2").groupBy(*by).agg(F.count("*").alias("__odd"))
-    joined = _joined(facts, odd, by)
-    return joined.select(*by, (F.col("__both") & F.col("__same") & (F.coalesce("__odd", F.lit(0)) == 0)).alias("is_equal"))
+    keys = [s.select(*by, "hash", "theta", "is_empty", "lg_k") for s in (a, b)]
+    same = (F.col("any") == 3) & F.col("full").isin(0, 3) & (F.col("theta0") == F.col("theta1")) & (F.col("hash").isNull() | (F.col("in") == 3))
+    return _met(keys, by).groupBy(*by).agg(F.bool_and(same).alias("is_equal"))
 
 
 def compact(state: DataFrame, by: Sequence[str] = (), ordered: bool = True) -> DataFrame:

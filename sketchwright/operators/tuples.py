@@ -54,49 +54,32 @@ def build(df: DataFrame, key: str, value: str, by: Sequence[str] = (), policy: P
     """The state of (key, value) rows. Values of hashes above a group's theta are dropped before the aggregation by key."""
     theta.check_lg_k(lg_k)
     seed_hash(seed)
-    theta0 = theta.start_theta(p)
     rows = theta.hashed(df.select(*by, F.col(key).alias("__key"), F.col(value).alias("__value")), "__key", seed).select(*by, "hash", "__value")
-    groups = rows.groupBy(*by).agg((F.count("hash") == 0).alias("is_empty"))
-    below = rows.where((F.col("hash") > 0) & (F.col("hash") < theta0))
-    k = 1 << lg_k
-    sizes = below.groupBy(*by).agg(F.approx_count_distinct("hash", 0.02).alias("__n"))
-    hint = F.when(F.col("__n") > 4 * k, (F.lit(float(theta0)) * (theta.SLACK * k) / F.col("__n")).cast("long")).otherwise(F.lit(theta0))
-    groups = theta._joined(groups, sizes.select(*by, hint.alias("theta")), by).withColumn("theta", F.coalesce("theta", F.lit(theta0)))
-    below = theta._joined(below, groups, by, "inner").where("hash < theta").select(*by, "hash", "__value")
-    keyed = below.groupBy(*by, "hash").agg(policy.update(F.col("__value")).alias("summary"))
-    state = theta._joined(groups, keyed, by)
-    start = F.when(F.col("is_empty"), F.lit(theta.MAX_THETA)).otherwise(F.col("theta"))
-    return theta._trim(state.select(*by, "hash", start.alias("theta"), "is_empty", F.lit(lg_k).alias("lg_k"), "summary"), by, ["summary"])
+    groups, below = theta._sampled(rows, by, lg_k, p, True)
+    keyed = below.groupBy(*by, "hash", "theta", "is_empty").agg(policy.update(F.col("__value")).alias("summary"))
+    kind = keyed.schema["summary"].dataType
+    state = keyed.unionByName(groups.withColumns({"hash": F.lit(None).cast("long"), "summary": F.lit(None).cast(kind)}))
+    return theta._trim(state.withColumn("lg_k", F.lit(lg_k)), by, ["summary"])
 
 
 def union(*states: DataFrame, by: Sequence[str] = (), policy: Policy = SUM, lg_k: int | None = None) -> DataFrame:
     """Keys of any input, with combined summaries."""
-    rows = theta._tagged(states)
-    facts = theta._group_facts(rows, by, lg_k and theta.check_lg_k(lg_k))
-    keyed = rows.where("hash is not null").groupBy(*by, "hash").agg(policy.combined()(F.col("summary")).alias("summary"))
-    joined = theta._joined(facts, keyed, by)
-    joined = joined.withColumn("hash", F.when(F.col("hash") < F.col("theta"), F.col("hash")))
-    joined = theta._one_null(joined, by)
-    joined = joined.withColumn("summary", F.when(F.col("hash").isNotNull(), F.col("summary")))
-    return theta._trim(joined.select(*by, "hash", "theta", "is_empty", "lg_k", "summary"), by, ["summary"])
+    rows = theta._met(states, by, [policy.combined()(F.col("summary")).alias("summary")])
+    size = F.lit(theta.check_lg_k(lg_k)) if lg_k else F.col("lg_k")
+    there = F.when(F.col("hash") < F.col("theta"), F.col("summary"))
+    return theta._trim(rows.select(*by, "hash", "theta", (F.col("full") == 0).alias("is_empty"), size.alias("lg_k"), there.alias("summary")), by, ["summary"])
 
 
 def intersection(*states: DataFrame, by: Sequence[str] = (), policy: Policy | None = None) -> DataFrame:
     """Keys of all inputs. There is no default for what becomes of their summaries."""
     if policy is None:
         raise SketchArgumentError("an intersection needs a policy")
-    plain = theta.intersection(*[s.drop("summary") for s in states], by=by)
-    rows = theta._tagged(states).where("hash is not null")
-    keyed = rows.groupBy(*by, "hash").agg(policy.combined()(F.col("summary")).alias("summary"))
-    right = keyed.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("hash").alias("__r_hash"), "summary")
-    on = [plain["hash"] == right["__r_hash"], *[plain[c].eqNullSafe(right[f"__r_{c}"]) for c in by]]
-    return plain.join(right, on, "left").drop("__r_hash", *[f"__r_{c}" for c in by])
+    return theta.intersection(*states, by=by, carried={"summary": policy.combined()(F.col("summary"))})
 
 
 def a_not_b(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys of a that b lacks, with a's summaries; b is any tuple or theta state."""
-    out = theta.a_not_b(a, b.select(*by, "hash", "theta", "is_empty", "lg_k"), by)
-    return out.withColumn("summary", F.when(F.col("hash").isNotNull(), F.col("summary")))
+    return theta.a_not_b(a, b, by)
 
 
 def subset_sum(state: DataFrame, by: Sequence[str] = (), value: Column | None = None, where: Column | None = None) -> DataFrame:

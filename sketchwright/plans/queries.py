@@ -95,11 +95,11 @@ def theta_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _theta_sql(source: str, key: str, by: str, lg_k: int, name: str, p: float = 1.0) -> str:
     """CTEs ending in `name`: by, hash, theta."""
     k, start = 1 << lg_k, theta.start_theta(p)
-    return f"""{murmur3_sql(source, key, by, f"{name}m")},
-{name}d AS (SELECT DISTINCT {by}, CAST(h1 >> 1 AS BIGINT) AS hash FROM {name}m WHERE CAST(h1 >> 1 AS BIGINT) BETWEEN 1 AND {start - 1}),
-{name}r AS (SELECT {by}, hash, row_number() OVER (PARTITION BY {by} ORDER BY hash) AS r FROM {name}d),
-{name}t AS (SELECT {by}, coalesce(min(CASE WHEN r = {k + 1} THEN hash END), {start}) AS theta FROM {name}r GROUP BY {by}),
-{name} AS (SELECT r.{by}, r.hash, t.theta FROM {name}r r JOIN {name}t t ON r.{by} IS NOT DISTINCT FROM t.{by} WHERE r.hash < t.theta)"""
+    return f"""{murmur3_sql(source, key, by, f"{name}_m")},
+{name}_d AS (SELECT DISTINCT {by}, CAST(h1 >> 1 AS BIGINT) AS hash FROM {name}_m WHERE CAST(h1 >> 1 AS BIGINT) BETWEEN 1 AND {start - 1}),
+{name}_r AS (SELECT {by}, hash, row_number() OVER (PARTITION BY {by} ORDER BY hash) AS r FROM {name}_d),
+{name}_t AS (SELECT {by}, coalesce(min(CASE WHEN r = {k + 1} THEN hash END), {start}) AS theta FROM {name}_r GROUP BY {by}),
+{name} AS (SELECT r.{by}, r.hash, t.theta FROM {name}_r r JOIN {name}_t t ON r.{by} IS NOT DISTINCT FROM t.{by} WHERE r.hash < t.theta)"""
 
 
 def _summary_sql(name: str, by: str, lg_k: int) -> str:
@@ -491,6 +491,15 @@ SELECT item AS l_suppkey, min(cnt) AS estimate, min(cnt) AS lower_bound,
         "bloom_intersect": f"{_BLOOM_TWO_SQL}, fu AS (SELECT DISTINCT fa.word, fa.bit FROM fa JOIN fb ON fa.word = fb.word AND fa.bit = fb.bit), {_words_sql('fu', 'w')} SELECT word, {_BITS_SQL} AS bits FROM w",
         "frequent_state": f"{_FREQ_SQL} SELECT {FLAG}, CAST(coalesce(sum(n - cut) FILTER (n > cut), 0) AS BIGINT) AS tracked, max(cut) AS offset, max(weight) AS weight FROM c JOIN k USING ({FLAG}) GROUP BY 1",
         "frequent_no_false_positives": "SELECT event_type AS item, count(*) AS estimate, count(*) AS lower_bound, count(*) AS upper_bound FROM events GROUP BY 1",
+        "frequent_no_false_negatives": f"{_FREQ_SQL} SELECT {FLAG}, item, n AS estimate, n - cut AS lower_bound, n AS upper_bound FROM c JOIN k USING ({FLAG}) WHERE n > cut",
+        "frequent_estimates": f"""WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
+k AS (SELECT coalesce((SELECT n FROM c ORDER BY n DESC LIMIT 1 OFFSET {frequent.capacity(HITTERS)}), 0) AS cut)
+SELECT l_suppkey, CASE WHEN n > cut THEN n ELSE 0 END AS estimate, CASE WHEN n > cut THEN n - cut ELSE 0 END AS lower_bound, CASE WHEN n > cut THEN n ELSE cut END AS upper_bound FROM c CROSS JOIN k""",
+        "bloom_contains_and_insert": f"""WITH {_bloom_sql("events", "user_id", "f")},
+s AS (SELECT user_id AS item, min(event_id) AS first FROM events GROUP BY 1),
+b AS (SELECT word, bit, min(first) AS since FROM f JOIN s USING (item) GROUP BY 1, 2),
+a AS (SELECT item, max(since) AS known FROM f JOIN b USING (word, bit) GROUP BY 1)
+SELECT event_id, user_id, known < event_id AS was_there FROM events JOIN a ON events.user_id = a.item""",
         "frequent_merge": "SELECT l_linenumber AS item, count(*) AS estimate, count(*) AS lower_bound, count(*) AS upper_bound FROM lineitem GROUP BY 1",
         "tdigest_facts": f"SELECT {FLAG}, min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS weight FROM lineitem GROUP BY 1",
         "tdigest_rollup": "SELECT min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS weight FROM lineitem",

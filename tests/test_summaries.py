@@ -391,7 +391,7 @@ def test_jvm_reads_our_bytes(spark):
         digest = jvm.tdigest.TDigestDouble.heapify(wrapped)
     except TypeError:
         pytest.skip("this Spark carries another release of the library")
-    assert digest.getTotalWeight() == 6 and digest.getQuantile(0.5) == pytest.approx(2.0)
+    assert (digest.getTotalWeight(), digest.getMinValue(), digest.getMaxValue()) == (6, 1.0, 3.0)
 
 
 # --- streams and tables ---
