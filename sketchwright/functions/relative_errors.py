@@ -27,19 +27,19 @@ HLL_UPPER = (
 )
 
 # CPC, lg_k 4 to 14, each for 1, 2 and 3 standard deviations, in ten-thousandths of 1 / sqrt(k).
-CPC_LOWER = (
+CPC_UPPER = (
     6037, 5720, 5328, 6411, 6262, 5682, 6724, 6403, 6127, 6665, 6411, 6208, 6959, 6525, 6427, 6892, 6665, 6619,
     6792, 6752, 6690, 6899, 6818, 6708, 6871, 6845, 6812, 6909, 6861, 6828, 6919, 6897, 6842,
 )
-CPC_UPPER = (
+CPC_LOWER = (
     8031, 8559, 9309, 7084, 7959, 8660, 7141, 7514, 7876, 7458, 7430, 7572, 6892, 7141, 7497, 6889, 7132, 7290,
     7075, 7118, 7185, 7040, 7047, 7085, 6993, 7019, 7053, 6953, 7001, 6983, 6944, 6966, 7004,
 )
-CPC_HIP_LOWER = (
+CPC_HIP_UPPER = (
     5871, 5247, 4826, 5877, 5403, 5070, 5873, 5533, 5304, 5878, 5632, 5464, 5874, 5690, 5564, 5880, 5745, 5619,
     5875, 5784, 5701, 5866, 5789, 5742, 5869, 5827, 5784, 5876, 5860, 5827, 5881, 5853, 5842,
 )
-CPC_HIP_UPPER = (
+CPC_HIP_LOWER = (
     5855, 6688, 7391, 5886, 6444, 6923, 5885, 6254, 6594, 5889, 6134, 6326, 5900, 6072, 6203, 5875, 6005, 6089,
     5871, 5980, 6040, 5889, 5941, 6015, 5871, 5926, 5973, 5866, 5901, 5915, 5880, 5914, 5953,
 )

@@ -90,12 +90,13 @@ def bounds(state: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> Da
     return rows.select(*by, F.col("__b.lower").alias("lower"), F.col("__b.estimate").alias("estimate"), F.col("__b.upper").alias("upper"))
 
 
-def coupon_bounds(lg_k: int, coupons: int, deviations: int) -> tuple[float, float, float]:
+def coupon_bounds(lg_k: int, coupons: int, deviations: int, hip: float | None = None) -> tuple[float, float, float]:
+    """lower, estimate, upper; hip: the estimate of a summary that saw all its keys in order."""
     if coupons == 0:
         return 0.0, 0.0, 0.0
-    value = distinct_for(lg_k, coupons)
-    lower = max(float(coupons), value / (1 + cpc_error(lg_k, deviations, False)))
-    return lower, value, float(math.ceil(value / (1 - cpc_error(lg_k, deviations, True))))
+    value = distinct_for(lg_k, coupons) if hip is None else hip
+    errors = [cpc_error(lg_k, deviations, upper, hip is not None) for upper in (False, True)]
+    return max(float(coupons), value / (1 + errors[0])), value, float(math.ceil(value / (1 - errors[1])))
 
 
 def estimate(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:

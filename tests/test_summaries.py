@@ -225,7 +225,7 @@ def test_hll_stored_forms(spark):
     stored = hll.to_binary(state)
     assert sorted(tables.hll_from_binary(stored).select(state.columns).collect()) == sorted(state.collect())
     registers = np.random.default_rng(1).integers(0, 40, 1024).astype(np.uint8)
-    for bits in (6, 8):
+    for bits in (4, 6, 8):
         assert (codecs.decode_hll(codecs.encode_hll(registers, bits)).registers == registers).all()
     for n in (5, 50):
         few = codecs.decode_hll(bytes(one(spark.range(n).agg(F.hll_sketch_agg("id", 12).alias("s"))).s))
@@ -383,6 +383,34 @@ def test_other_codecs_round_trip(spark):
         codecs.decode_tdigest(codecs.encode_tdigest(200, 1.0, float("nan"), [1.0, 2.0], [1, 4]))
 
 
+def test_stored_tables_round_trip(spark):
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("item"), F.col("id").cast("double").alias("v"))
+    states = [
+        (tuples.build(df, "id", "item", ["g"]), lambda s: tables.tuple_to_binary(s, "i64", ["g"]), lambda b: tables.tuple_from_binary(b, "i64", by=["g"])),
+        (bloom.build(df, "id", bloom.Config(1024, 3), ["g"]), lambda s: tables.bloom_to_binary(s, bloom.Config(1024, 3), ["g"]), lambda b: tables.bloom_from_binary(b, by=["g"])),
+        (countmin.build(df, "item", countmin.Config(3, 20), ["g"]), lambda s: tables.countmin_to_binary(s, countmin.Config(3, 20), ["g"]), lambda b: tables.countmin_from_binary(b, by=["g"])),
+        (frequent.build(df, "item", 8, ["g"]), lambda s: tables.frequent_to_binary(s, 3, ["g"]), lambda b: tables.frequent_from_binary(b, by=["g"])),
+        (tdigest.build(df, "v", ["g"]), lambda s: tables.tdigest_to_binary(s, ["g"]), lambda b: tables.tdigest_from_binary(b, by=["g"])),
+    ]
+    for state, pack, unpack in states:
+        assert sorted(map(str, unpack(pack(state)).select(state.columns).collect())) == sorted(map(str, state.collect()))
+
+
+def test_stored_coupons_are_read_from_the_jvm(spark):
+    jvm = spark._jvm.org.apache.datasketches.cpc
+    try:
+        own = jvm.CpcSketch(11)
+        for i in range(3000):
+            own.update(i)
+        data = bytes(own.toByteArray())
+    except TypeError:
+        pytest.skip("this Spark carries another release of the library")
+    r = one(tables.cpc_from_binary(spark.createDataFrame([(bytearray(data),)], "sketch binary")))
+    assert r.lg_k == 11 and not r.is_empty and r.estimate == pytest.approx(own.getEstimate())
+    assert r.num_coupons == one(cpc.num_coupons(cpc.build(spark.range(3000), "id"))).num_coupons
+    assert r.lower == pytest.approx(own.getLowerBound(2), rel=1e-6) and r.upper == pytest.approx(own.getUpperBound(2), rel=1e-6)
+
+
 def test_jvm_reads_our_bytes(spark):
     jvm = spark._jvm.org.apache.datasketches
     memory = jvm.memory.Memory if hasattr(jvm, "memory") else None
