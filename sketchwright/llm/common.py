@@ -54,21 +54,31 @@ def plain_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def splitters(df: DataFrame, key: str, rows_each: int, most: int) -> list[int]:
-    """Ascending values that cut key into ranges of about rows_each rows, at most `most` ranges.
+def splitters(df: DataFrame, key: str, rows_each: int) -> list[int]:
+    """Ascending values that cut key into ranges of about rows_each rows, or the square root of the rows if that is more.
 
-    The driver holds `most` numbers, whatever the input.
+    So the ranges, and the rows of a range, both grow with the square root of the input: the driver
+    holds one number a range (170,000 for 3e10 rows).
     """
-    parts = max(1, min(most, math.ceil(df.count() / rows_each)))
-    if parts == 1:
+    rows = df.count()
+    parts = math.ceil(rows / max(rows_each, math.isqrt(rows))) if rows else 1
+    if parts <= 1:
         return []
     cuts = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)
     return sorted({int(x) for x in cuts})
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below key; a null key counts as before all."""
+    """The number of cuts at or below key; a null key counts as before all. Looked up in two steps of the root of the cuts each."""
     if not cuts:
         return F.lit(0)
-    below = F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= key)
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(below))
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda cut: cut <= key))
+
+    whole = below(F.array(*[F.lit(g[-1]) for g in groups]))  # groups that lie below key altogether
+    rest = F.coalesce(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), whole), F.array().cast("array<bigint>"))
+    found = F.least(whole * width, F.lit(len(cuts))) + below(rest)
+    return F.when(key.isNull(), F.lit(0)).otherwise(found).cast("int")

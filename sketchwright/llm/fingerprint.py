@@ -9,8 +9,8 @@ from .common import SPACES, plain_text, range_of, splitters, written
 
 #: Samples of a fingerprint, and how many of them one generated row computes (more would make methods that the JIT leaves alone).
 SAMPLES, AT_ONCE = 32, 8
-#: Rows of a range in which the next document is looked up, and the most ranges.
-RANGE_ROWS, RANGES = 1000, 512
+#: Rows of a range in which the next document is looked up, at least.
+RANGE_ROWS = 1000
 
 
 def sorted_terms(text: Column) -> Column:
@@ -57,7 +57,7 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), plain_text(F.col(text)).alias("text"))
-    cuts = splitters(slim, "doc_id", RANGE_ROWS, RANGES)
+    cuts = splitters(slim, "doc_id", RANGE_ROWS)
     part = range_of(F.col("doc_id"), cuts)
     heads = {r["part"]: r["head"] for r in slim.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     if not heads:

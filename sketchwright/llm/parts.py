@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 
 from .common import plain_text, range_of, splitters
 
-#: Rows of a part, and the most parts. Parts hold whole documents; a part is the unit of a Python task.
-PART_ROWS, PARTS = 1000, 1024
+#: Rows of a part at least (splitters() makes them larger for large inputs). Parts hold whole documents; a part is the unit of a Python task.
+PART_ROWS = 1000
 
 
 def dealt(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     """(part int, doc_id long, bytes binary) and the number of parts. Parts ascend with the id; null ids are in the last."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), plain_text(F.col(text)).cast("binary").alias("bytes"))
-    cuts = splitters(slim, "doc_id", PART_ROWS, PARTS)
+    cuts = splitters(slim, "doc_id", PART_ROWS)
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(range_of(F.col("doc_id"), cuts))
     return slim.select(part.cast("int").alias("part"), "doc_id", "bytes"), len(cuts) + 2
 
 
 def buckets_for(parts: int) -> int:
-    """Ranges of hash values: a power of two that grows with the parts."""
-    return 1 << max(4, min(13, (2 * parts - 1).bit_length()))
+    """Ranges of hash values: a power of two that grows with the parts, so a range's share of a part stays about as large."""
+    return 1 << max(4, min(19, (2 * parts - 1).bit_length()))
 
 
 def in_order(table: pa.Table) -> tuple[pa.Array, list[bytes]]:
