@@ -140,7 +140,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     keyed = nodes.select("fp", F.explode(F.array(*_tables(F.col("fp")))).alias("key"))
     full = keyed.groupBy("key").count().where(F.col("count") > CHUNK)
     full = full.select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    # A full key has over CHUNK of the 15 rows of each node: the table has at most 15 / CHUNK rows a node.
+    # Each node has 15 rows, so at most 15 * nodes / CHUNK keys are full.
     dealt = keyed.join(full, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)
     spread = dealt.select("fp", "key", "own", F.explode(others).alias("other"))
