@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import murmur3_sql, xxh64_sql
 from ..operators import bloom, countmin, cpc, frequent, hll, tdigest, theta, tuples
+from ..streaming import rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX = theta.MAX_THETA
@@ -434,8 +436,23 @@ def tdigest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tdigest.merge(_prices(spark, sf_dir).drop(FLAG)).select("min", "max", "weight")
 
 
+# --- streams ---
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers of each hour and event type, from a stream over the events that runs until all are read."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    found = rollups.windowed_registers(stream, "ts", "user_id", "1 hour", "1 day", ["event_type"], lg_k=6)
+    name = f"stream_{uuid.uuid4().hex[:12]}"
+    query = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Query]:
-    own = [f for n, f in globals().items() if callable(f) and n.split("_")[0] in ("theta", "tuple", "hll", "cpc", "countmin", "bloom", "frequent", "tdigest")]
+    own = [f for n, f in globals().items() if callable(f) and n.split("_")[0] in ("theta", "tuple", "hll", "cpc", "countmin", "bloom", "frequent", "tdigest", "stream")]
     return {f.__name__: f for f in own if getattr(f, "__module__", "") == __name__}
 
 
@@ -501,6 +518,9 @@ b AS (SELECT word, bit, min(first) AS since FROM f JOIN s USING (item) GROUP BY
 a AS (SELECT item, max(since) AS known FROM f JOIN b USING (word, bit) GROUP BY 1)
 SELECT event_id, user_id, known < event_id AS was_there FROM events JOIN a ON events.user_id = a.item""",
         "frequent_merge": "SELECT l_linenumber AS item, count(*) AS estimate, count(*) AS lower_bound, count(*) AS upper_bound FROM lineitem GROUP BY 1",
+        "stream_windows": f"""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, user_id FROM events),
+{murmur3_sql("e", "user_id", "w, event_type", "m")}
+SELECT w AS window_start, event_type, CAST(h1 & 63 AS INTEGER) AS slot, CAST(max({_lead_sql(62)} + 1) AS INTEGER) AS value, 6 AS lg_k FROM m GROUP BY 1, 2, 3""",
         "tdigest_facts": f"SELECT {FLAG}, min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS weight FROM lineitem GROUP BY 1",
         "tdigest_rollup": "SELECT min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS weight FROM lineitem",
         "tdigest_within": f"SELECT DISTINCT {FLAG}, CAST(i AS INTEGER) AS i, TRUE AS within FROM lineitem CROSS JOIN range({len(RANKS)}) r(i)",
