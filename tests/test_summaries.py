@@ -1,4 +1,4 @@
-"""The summaries against exact answers, algebraic laws, and the implementation that Spark carries."""
+"""The summaries against exact answers, algebraic laws, and Spark's own functions."""
 
 import math
 import struct
@@ -145,18 +145,20 @@ def test_theta_bounds(spark):
     assert last.lower < 50_000 < last.upper
 
 
-def test_small_sample_bounds_agree_with_the_jvm(spark):
-    jvm = spark._jvm.org.apache.datasketches.thetacommon.BinomialBoundsN if hasattr(spark._jvm.org.apache.datasketches, "thetacommon") else None
-    for n in (0, 1, 2, 10, 50, 120, 121, 500):
-        for t in (0.9, 0.5, 0.1, 0.01):
+def test_small_sample_bounds_are_binomial():
+    def at_most(n, x, p):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x + 1))
+
+    for n in (1, 2, 10, 50, 120):
+        for t in (0.5, 0.1, 0.01):
             for k in (1, 2, 3):
-                low, high = bounds.sampled_lower(n, t, k), bounds.sampled_upper(n, t, k)
+                low, high, tail = bounds.sampled_lower(n, t, k), bounds.sampled_upper(n, t, k), bounds.TAILS[k]
                 assert low <= n / t <= high
-                try:
-                    theirs = jvm.getLowerBound(n, t, k, False), jvm.getUpperBound(n, t, k, False)
-                except TypeError:
-                    continue
-                assert low == pytest.approx(theirs[0], rel=0.03, abs=1.5) and high == pytest.approx(theirs[1], rel=0.03, abs=1.5)
+                if n > 1:
+                    assert 1 - at_most(int(low), n - 1, t) <= tail + 1e-9
+                assert at_most(math.ceil(high), n, t) <= tail + 1e-9
+                near = bounds._normal(n, t, k, 1)
+                assert n < 100 or high == pytest.approx(near, rel=0.03)
 
 
 # --- tuple ---
@@ -396,30 +398,18 @@ def test_stored_tables_round_trip(spark):
         assert sorted(map(str, unpack(pack(state)).select(state.columns).collect())) == sorted(map(str, state.collect()))
 
 
-def test_stored_coupons_are_read_from_the_jvm(spark):
-    jvm = spark._jvm.org.apache.datasketches.cpc
-    try:
-        own = jvm.CpcSketch(11)
-        for i in range(3000):
-            own.update(i)
-        data = bytes(own.toByteArray())
-    except TypeError:
-        pytest.skip("this Spark carries another release of the library")
-    r = one(tables.cpc_from_binary(spark.createDataFrame([(bytearray(data),)], "sketch binary")))
-    assert r.lg_k == 11 and not r.is_empty and r.estimate == pytest.approx(own.getEstimate())
-    assert r.num_coupons == one(cpc.num_coupons(cpc.build(spark.range(3000), "id"))).num_coupons
-    assert r.lower == pytest.approx(own.getLowerBound(2), rel=1e-6) and r.upper == pytest.approx(own.getUpperBound(2), rel=1e-6)
-
-
-def test_jvm_reads_our_bytes(spark):
-    jvm = spark._jvm.org.apache.datasketches
-    memory = jvm.memory.Memory if hasattr(jvm, "memory") else None
-    try:
-        wrapped = memory.wrap(bytearray(codecs.encode_tdigest(200, 1.0, 3.0, [1.0, 2.0, 3.0], [1, 4, 1])))
-        digest = jvm.tdigest.TDigestDouble.heapify(wrapped)
-    except TypeError:
-        pytest.skip("this Spark carries another release of the library")
-    assert (digest.getTotalWeight(), digest.getMinValue(), digest.getMaxValue()) == (6, 1.0, 3.0)
+def test_stored_coupons_are_read(spark):
+    n = one(cpc.num_coupons(cpc.build(spark.range(3000), "id"))).num_coupons
+    short = hashing.seed_hash(9001)
+    unmerged = codecs.Writer().put("B", 8, 1, 16, 11, 0, 4 | 16).put("H", short).put("I", n, 77).put("d", 1.0, 2992.5).raw(b"packed").done()
+    merged = codecs.Writer().put("B", 4, 1, 16, 11, 0, 16).put("H", short).put("I", n, 77).raw(b"packed").done()
+    empty = codecs.Writer().put("B", 2, 1, 16, 11, 0, 0).put("H", short).done()
+    rows = spark.createDataFrame([(1, bytearray(unmerged)), (2, bytearray(merged)), (3, bytearray(empty)), (4, None)], "g int, sketch binary")
+    found = {r.g: r for r in tables.cpc_from_binary(rows, by=["g"]).collect()}
+    assert found[1].estimate == 2992.5 and found[1].num_coupons == n and found[1].lower < 2992.5 < found[1].upper
+    assert found[2].estimate == pytest.approx(distinct_for(11, n)) and found[3].is_empty and set(found) == {1, 2, 3}
+    with pytest.raises(SketchDataError):
+        codecs.cpc_facts(unmerged, seed=1)
 
 
 # --- streams and tables ---
