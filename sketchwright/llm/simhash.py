@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import plain_text, written
 from .components import components
 
 #: Blocks of a fingerprint; two with at most DISTANCE differing bits agree in BLOCKS - DISTANCE of them.
@@ -47,8 +47,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp), a row per row of docs; fp is the fingerprint as a signed 64-bit integer.
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns in keep, a row per row of docs; fp is the fingerprint as a signed 64-bit integer.
 
     Null and wordless texts have fp 0; texts shorter than a shingle are one shingle.
     """
@@ -56,9 +56,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
+    return slim.mapInArrow(run, "doc_id long, fp long" + more)
 
 
 def _tables(fp: Column) -> list[Column]:
@@ -177,6 +179,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long")
 
 
+def _grouped(docs: DataFrame, text: str, key: str, shingle: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, root, component_id) and the columns in keep, a row per row of docs; root is one fp of the component and tells components apart."""
+    fps = written(fingerprints(docs, text, key, shingle, keep), "simhash")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    found = components(written(links(nodes, distance), "simhash-links"), "simhash-stars")
+    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = written(placed.join(firsts, "root").select("fp", "root", "component_id"), "simhash-named")
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep)
+
+
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id), a row per row of docs.
 
@@ -184,19 +197,22 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     differing bits, exact copies included. A null doc_id is never the smallest unless all are null.
     Empty input gives no rows.
     """
-    fps = written(fingerprints(docs, text, key, shingle), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    found = components(written(links(nodes, distance), "simhash-links"), "simhash-stars")
-    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(placed.join(firsts, "root").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, text, key, shingle, distance).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose id is that of their component; repeated rows of it stay once, null ids once a component."""
-    found = near_groups(docs, text, key, shingle, distance)
-    stay = found.where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")).distinct()
-    marked = docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    kept = marked.join(stay, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    """One row of docs for each component, with all its columns: of those with its smallest id, one with the least digest of the text.
+
+    A row stands for its own component only, so different texts under one id, or under null ids, each keep
+    theirs. Rows meet their winner by digest and id, so null ids spread over the reducers.
+    """
+
+    def name(column: Column) -> Column:
+        return F.coalesce(column.cast("string"), F.lit(""))
+
+    marked = docs.withColumn("__digest", F.sha2(plain_text(F.col(text)), 256))
+    found = _grouped(marked, text, key, shingle, distance, ("__digest",))
+    best = found.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("__digest").alias("__digest"))
+    best = best.select("__digest", name(F.col("doc_id")).alias("__key"))
+    kept = marked.withColumn("__key", name(F.col(key))).join(best, ["__digest", "__key"], "left_semi")
+    return kept.dropDuplicates(["__digest", "__key"]).drop("__digest", "__key")

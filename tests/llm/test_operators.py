@@ -356,6 +356,17 @@ def test_simhash(docs, rows, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_simhash_keeps_each_component_of_shared_ids(spark):
+    rng = random.Random(9)
+    one, two, three, four, other = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)) for _ in range(5))
+    near = one + " more"
+    assert (simhash.fingerprint(one) ^ simhash.fingerprint(near)).bit_count() <= 4
+    table = [(None, two), (None, two), (None, three), (3, one), (5, near), (5, four), (5, other), (5, other)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_first(docs).collect())
+    assert kept == Counter([(None, two), (None, three), (3, one), (5, four), (5, other)])
+
+
 def test_simhash_links_with_chunks(spark, monkeypatch):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(5)]
