@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import plain_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Atoms of the longest entity; regions longer than this many atoms are cut at a word.
-LONGEST, REGION = 14, 400
+#: Atoms of the longest entity.
+LONGEST = 14
 
 # The base patterns. Quantifiers are possessive or anchored where that cannot change what is found.
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,12 +133,14 @@ class SemiMarkov:
         """The best segmentation of a region's atoms into entities and single atoms, boundaries and types jointly."""
         n = len(atoms)
         best, back = [0.0] * (n + 1), [None] * (n + 1)
-        by_end = defaultdict(list)
-        for i, j in self.segments(atoms):
-            by_end[j].append(i)
+        begins = [t[0].isalnum() or t in "+(" for t in atoms]
         for j in range(1, n + 1):
             best[j] = best[j - 1]
-            for i in by_end[j]:
+            if not atoms[j - 1][0].isalnum():
+                continue
+            for i in range(max(0, j - LONGEST), j):  # the candidates of segments(), never held at once
+                if not begins[i]:
+                    continue
                 span = "".join(atoms[i:j])
                 for kind in KINDS if _digit.search(span) else ("email",):
                     s = best[i] + self.score(kind, span, before)
@@ -252,13 +254,10 @@ def added_spans(text: str, model: SemiMarkov, base: list[tuple[str, int, int]])
                 continue
             atoms = _atoms.findall(text[x:y])
             before = re.findall(r"[^\W\d_]+", text[max(0, x - 24) : x])
-            for at_atom in range(0, len(atoms), REGION):
-                some = atoms[at_atom : at_atom + REGION]
-                place = x + sum(map(len, atoms[:at_atom]))
-                offsets = [place]
-                for t in some:
-                    offsets.append(offsets[-1] + len(t))
-                found += [(kind, offsets[i], offsets[j]) for kind, i, j in model.decode(some, before[-1] if before else "")]
+            offsets = [x]
+            for t in atoms:
+                offsets.append(offsets[-1] + len(t))
+            found += [(kind, offsets[i], offsets[j]) for kind, i, j in model.decode(atoms, before[-1] if before else "")]
     return found
 
 

@@ -322,6 +322,13 @@ def test_pii_field_adds_spans():
     assert right / total > 0.9
 
 
+def test_pii_long_regions_are_decoded_whole():
+    numbers = [f"555-123-{4000 + k}" for k in range(300)]
+    t = "call " + " ".join(numbers)
+    found = pii.added_spans(t, pii.SemiMarkov(pii.trained()), pii.base_spans(t))
+    assert [(k, t[a:b]) for k, a, b in found] == [("phone", x) for x in numbers]
+
+
 def test_simhash(docs, rows, none):
     import xxhash
 
