@@ -119,13 +119,57 @@ def murmur3_bytes(data: bytes, seed: int = DEFAULT_SEED) -> tuple[int, int]:
     return a, b + a & mask
 
 
+def murmur3_many(values: list[bytes], seed: int = DEFAULT_SEED) -> np.ndarray:
+    """murmur3_bytes of each value, as rows of two signed numbers; values of one number of 16-byte blocks are hashed together."""
+    out = np.empty((len(values), 2), np.int64)
+    lengths = np.fromiter(map(len, values), np.int64, len(values))
+    blocks = lengths // 16
+    order = np.argsort(blocks, kind="stable")
+    cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+    with np.errstate(over="ignore"):
+        for rows in np.split(order, cuts) if len(values) else ():
+            whole = int(blocks[rows[0]])
+            padded = b"".join(values[i].ljust(16 * whole + 16, b"\0") for i in rows)
+            words = np.frombuffer(padded, "<u8").reshape(len(rows), 2 * whole + 2)
+            a = np.full(len(rows), seed & (2**64 - 1), np.uint64)
+            b = a.copy()
+            for k in range(whole):
+                a = (_turn(a ^ _scrambled(words[:, 2 * k], M_C1, 31, M_C2), 27) + b) * np.uint64(5) + np.uint64(M_A1)
+                b = (_turn(b ^ _scrambled(words[:, 2 * k + 1], M_C2, 33, M_C1), 31) + a) * np.uint64(5) + np.uint64(M_A2)
+            size = lengths[rows].astype(np.uint64)  # the tail is padded with zeros, which scramble to zero
+            a = a ^ _scrambled(words[:, -2], M_C1, 31, M_C2) ^ size
+            b = b ^ _scrambled(words[:, -1], M_C2, 33, M_C1) ^ size
+            a = a + b
+            b = b + a
+            a, b = _finished(a), _finished(b)
+            a = a + b
+            out[rows, 0], out[rows, 1] = a.view(np.int64), (b + a).view(np.int64)
+    return out
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _scrambled(x: np.ndarray, first: int, turn: int, second: int) -> np.ndarray:
+    return _turn(x * np.uint64(first), turn) * np.uint64(second)
+
+
+def _finished(x: np.ndarray) -> np.ndarray:
+    for multiplier in (M_F1, M_F2):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(multiplier)
+    return x ^ x >> np.uint64(33)
+
+
 def with_murmur3_bytes(df: DataFrame, key: str, h1: str = "h1", h2: str = "h2", seed: int = DEFAULT_SEED, skip_empty: bool = True) -> DataFrame:
-    """The same for the raw bytes of a STRING or BINARY column, in Arrow batches. Empty values give null if skip_empty."""
+    """The same for the raw bytes of a STRING or BINARY column, in Arrow batches whose distinct values are hashed together. Empty values give null if skip_empty."""
 
     @F.pandas_udf("h1 long, h2 long")
     def run(values: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if v is None or (skip_empty and not v) else tuple(map(signed, murmur3_bytes(bytes(v), seed))) for v in values]
-        return pd.DataFrame({"h1": pd.array([f[0] for f in found], dtype="Int64"), "h2": pd.array([f[1] for f in found], dtype="Int64")})
+        codes, distinct = pd.factorize(values.map(bytes, na_action="ignore"))
+        found = np.vstack([murmur3_many(list(distinct), seed), np.zeros((1, 2), np.int64)])[codes]  # nulls have the code -1
+        missing = (codes < 0) | (np.array([not v for v in distinct] + [False], bool)[codes] if skip_empty else False)
+        return pd.DataFrame({name: pd.arrays.IntegerArray(found[:, k].copy(), missing.copy()) for k, name in enumerate(("h1", "h2"))})
 
     df = df.withColumn("__h", run(F.col(key).cast("binary")))
     return df.withColumns({h1: F.col("__h.h1"), h2: F.col("__h.h2")}).drop("__h")
@@ -144,6 +188,14 @@ def with_hash(df: DataFrame, key: str, h1: str = "h1", h2: str = "h2", seed: int
     raise SketchArgumentError(f"keys of type {kind} can't be hashed; cast {key} to BIGINT, DOUBLE, STRING or BINARY")
 
 
+def with_counted_hash(df: DataFrame, key: str, h1: str = "h1", h2: str = "h2", seed: int = DEFAULT_SEED) -> DataFrame:
+    """with_hash without the rows whose key doesn't count. The filter is on the key, so that it stays short: one on the hash would be
+    pushed below the steps that compute it, with the whole hash written out."""
+    kind = df.schema[key].dataType.typeName()
+    counts = F.octet_length(key) > 0 if kind in ("string", "binary", "char", "varchar") else F.col(key).isNotNull()
+    return with_hash(df.where(counts), key, h1, h2, seed)
+
+
 def sign_extended(c: Column, bits: int = 64) -> Column:
     """An integer of `bits` bits reinterpreted as signed, then widened: an unsigned 32-bit 2^32-1 becomes -1."""
     if bits == 64:

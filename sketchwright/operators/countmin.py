@@ -1,7 +1,8 @@
 """Point frequencies: a table of counters, each item counted once in every row.
 
-State: `by` columns, row INT, bucket INT, cnt BIGINT for the counters that were touched, and total
-BIGINT, the sum of absolute weights, repeated in every row of a group.
+State: `by` columns, row INT, bucket INT, cnt BIGINT for the counters that were touched, and one more
+row a group, with row -1 and bucket 0, whose cnt is the total: the sum of absolute weights. So every
+column but cnt is a key and merging, under any grouping, is one sum.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from ..errors import SketchArgumentError
 from ..functions.hashing import DEFAULT_SEED, murmur3_bytes, seed_hash, signed, unsigned_mod, with_hash
 from .theta import _joined
 
+#: The row number under which a group's total stands.
+TOTAL = -1
+
 
 def suggest_num_buckets(relative_error: float) -> int:
     if not relative_error > 0:
@@ -51,12 +55,15 @@ class Config:
         return math.e / self.num_buckets
 
 
-def placed(df: DataFrame, item: str, config: Config, carried: Sequence[str]) -> DataFrame:
-    """carried, row, bucket: the counters of each row's item, one row each. Hash after aggregating: this multiplies rows."""
+def placed(df: DataFrame, item: str, config: Config, carried: Sequence[str], extra: int | None = None) -> DataFrame:
+    """carried, row, bucket: the counters of each row's item, one row each, and one of row `extra`. Hash after aggregating: this multiplies rows."""
     out = df
     for i, seed in enumerate(config.row_seeds):
         out = with_hash(out, item, f"__r{i}", "__h2", signed(seed), skip_empty=False).drop("__h2")
-    cells = F.array(*[F.struct(F.lit(i).alias("row"), unsigned_mod(F.col(f"__r{i}"), config.num_buckets).cast("int").alias("bucket")) for i in range(config.num_hashes)])
+    places = [F.struct(F.lit(i).alias("row"), unsigned_mod(F.col(f"__r{i}"), config.num_buckets).cast("int").alias("bucket")) for i in range(config.num_hashes)]
+    if extra is not None:
+        places.append(F.struct(F.lit(extra).alias("row"), F.lit(0).alias("bucket")))
+    cells = F.array(*places)
     return out.select(*carried, F.explode(cells).alias("__c")).select(*carried, "__c.row", "__c.bucket")
 
 
@@ -65,22 +72,28 @@ def build(df: DataFrame, item: str, config: Config, by: Sequence[str] = (), weig
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df.select(*by, F.col(item).alias("__item"), w.alias("__w")).where("__item is not null and __w <> 0")
     items = rows.groupBy(*by, "__item").agg(F.sum("__w").alias("__w"), F.sum(F.abs("__w")).alias("__a"))
-    cells = placed(items, "__item", config, [*by, "__w", "__a"])
-    table = cells.groupBy(*by, "row", "bucket").agg(F.sum("__w").alias("cnt"), F.sum("__a").alias("__a"))
-    # Each row of the table holds every item once, so one row's sum is the group's total.
-    totals = table.where("row = 0").groupBy(*by).agg(F.sum("__a").alias("total"))
-    return _joined(table.drop("__a"), totals, by)
+    cells = placed(items, "__item", config, [*by, "__w", "__a"], TOTAL)
+    added = F.when(F.col("row") == TOTAL, F.col("__a")).otherwise(F.col("__w"))
+    return cells.groupBy(*by, "row", "bucket").agg(F.sum(added).alias("cnt"))
 
 
 def merge(*states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds tables of one configuration; a coarser `by` rolls groups up."""
     rows = None
-    for i, s in enumerate(states):
-        one = s.withColumn("__in", F.lit(i))
+    for s in states:
+        one = s.select(*by, "row", "bucket", "cnt")
         rows = one if rows is None else rows.unionByName(one)
-    finer = [c for c in rows.columns if c not in ("row", "bucket", "cnt", "total")]
-    totals = rows.select(*finer, "total").distinct().groupBy(*by).agg(F.sum("total").alias("total"))
-    return _joined(rows.groupBy(*by, "row", "bucket").agg(F.sum("cnt").alias("cnt")), totals, by)
+    return rows.groupBy(*by, "row", "bucket").agg(F.sum("cnt").alias("cnt"))
+
+
+def totals(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """total of each group."""
+    return state.where(F.col("row") == TOTAL).select(*by, F.col("cnt").alias("total"))
+
+
+def counters(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, row, bucket, cnt and the group's total beside each counter."""
+    return _joined(state.where(F.col("row") != TOTAL), totals(state, by), by).select(*by, "row", "bucket", "cnt", "total")
 
 
 def estimate(state: DataFrame, probes: DataFrame, item: str, config: Config, by: Sequence[str] = ()) -> DataFrame:
@@ -94,25 +107,24 @@ def estimate(state: DataFrame, probes: DataFrame, item: str, config: Config, by:
     right = state.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("row").alias("__row"), F.col("bucket").alias("__bucket"), "cnt")
     on = [cells["row"] == right["__row"], cells["bucket"] == right["__bucket"], *[cells[c].eqNullSafe(right[f"__r_{c}"]) for c in by]]
     found = cells.join(right, on, "left").groupBy(*by, "__item").agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
-    totals = state.groupBy(*by).agg(F.max("total").alias("__total"))
-    found = _joined(found, totals, by)
-    upper = F.col("estimate") + F.floor(F.coalesce("__total", F.lit(0)) * F.lit(config.relative_error)).cast("long")
+    found = _joined(found, totals(state, by), by)
+    upper = F.col("estimate") + F.floor(F.coalesce("total", F.lit(0)) * F.lit(config.relative_error)).cast("long")
     return found.select(*by, F.col("__item").alias(item), "estimate", F.col("estimate").alias("lower_bound"), upper.alias("upper_bound"))
 
 
 def halve(state: DataFrame) -> DataFrame:
     """All counters and totals halved, rounding down; for counters that are never negative."""
-    return state.withColumns({c: F.shiftright(c, 1) for c in ("cnt", "total")}).where("cnt <> 0 or total <> 0")
+    return state.withColumn("cnt", F.shiftright("cnt", 1))
 
 
 def decay(state: DataFrame, factor: float) -> DataFrame:
     """All counters and totals times factor in (0, 1], cut to integers."""
     if not 0 < factor <= 1:
         raise SketchArgumentError("the decay factor must be in (0, 1]", decay=factor)
-    return state.withColumns({c: F.floor(F.col(c) * F.lit(float(factor))).cast("long") for c in ("cnt", "total")})
+    return state.withColumn("cnt", F.floor(F.col("cnt") * F.lit(float(factor))).cast("long"))
 
 
 def total_weight(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """total_weight and is_empty of each group."""
-    rows = state.groupBy(*by).agg(F.coalesce(F.max("total"), F.lit(0)).alias("total_weight"))
+    rows = state.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("row") == TOTAL, F.col("cnt"))), F.lit(0)).alias("total_weight"))
     return rows.withColumn("is_empty", F.col("total_weight") == 0)

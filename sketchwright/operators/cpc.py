@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import SketchArgumentError
 from ..functions.bounds import check_deviations
 from ..functions.coupons import distinct_for
-from ..functions.hashing import DEFAULT_SEED, leading_zeros, seed_hash, with_hash
+from ..functions.hashing import DEFAULT_SEED, leading_zeros, seed_hash, with_counted_hash
 from ..functions.relative_errors import cpc_error
 from .theta import _joined
 
@@ -43,7 +43,7 @@ def coupons(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT
     """by, carried, row, col of each key that counts."""
     check_lg_k(lg_k)
     seed_hash(seed)
-    rows = with_hash(df.select(*by, *carried, F.col(key).alias("__key")), "__key", "__h1", "__h2", seed).where("__h1 is not null")
+    rows = with_counted_hash(df.select(*by, *carried, F.col(key).alias("__key")), "__key", "__h1", "__h2", seed)
     row = F.col("__h1").bitwiseAND((1 << lg_k) - 1).cast("int")
     col = F.least(leading_zeros(F.col("__h2")), F.lit(63)).cast("int")
     if lg_k == 26:  # the pair that would be all ones is moved

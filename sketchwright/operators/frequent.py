@@ -1,8 +1,9 @@
 """Heavy hitters: counters for the most frequent items, with a common offset for what was dropped.
 
-State: `by` columns, item, lb BIGINT (lower bound of the item's weight; null in the single row of a group
-that tracks none), offset BIGINT and weight BIGINT of the group. An item's weight is from lb to
-lb + offset; an untracked item's at most offset.
+State: `by` columns, item and lb BIGINT, the lower bound of a tracked item's weight, and one more row a
+group, whose item is null, with the group's offset and weight BIGINT (null in the other rows). An item's
+weight is from lb to lb + offset; an untracked item's at most offset. All that is added when states are
+merged stands in one row a key, so merging, under any grouping, is one sum.
 """
 
 from __future__ import annotations
@@ -48,23 +49,21 @@ def apriori_error(max_map_size: int, total_weight: int) -> float:
     return epsilon(max_map_size) * total_weight
 
 
-def _purge(counts: DataFrame, by: Sequence[str], keep: int, totals: DataFrame) -> DataFrame:
-    """Keeps `keep` items: the count of the next one is taken off all and becomes offset.
+def _purge(rows: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
+    """rows: by, item, lb, offset, weight, one row an item. Keeps `keep` items: the count of the next one is taken off all and becomes offset.
 
-    By then counts are one row an item. All items at or below the next count go, so its size bounds what any
-    dropped item weighed; it is at most the weight over keep + 1. Ranks are taken in two steps: first within
-    slices of the items, then among the slices' survivors, so no task ranks all items of a group.
+    All items at or below the next count go, so its size bounds what any dropped item weighed; it is at
+    most the weight over keep + 1. Ranks are taken in two steps: first within the tasks that hold the
+    items after the aggregation by item, then among their survivors, so no task ranks all items of a group.
     """
-    slice_of = F.pmod(F.xxhash64("item"), F.lit(64))
-    first = Window.partitionBy(*by, "__slice").orderBy(F.desc("lb"))
-    few = counts.withColumn("__slice", slice_of).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= keep + 1).drop("__slice", "__rank")
-    ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("lb"))))
+    first = Window.partitionBy(*by, "__slice").orderBy(F.desc_nulls_first("lb"))
+    few = rows.withColumn("__slice", F.spark_partition_id()).withColumn("__rank", F.row_number().over(first))
+    few = few.where((F.col("__rank") <= keep + 2) | F.col("item").isNull()).drop("__slice", "__rank")
     group = Window.partitionBy(*by)
-    ranked = ranked.withColumn("__cut", F.coalesce(F.max(F.when(F.col("__rank") == keep + 1, F.col("lb"))).over(group), F.lit(0)))
-    cuts = ranked.groupBy(*by).agg(F.max("__cut").alias("__cut"))
-    kept = ranked.where("lb > __cut").select(*by, "item", (F.col("lb") - F.col("__cut")).alias("lb"))
-    facts = _joined(totals, cuts, by).withColumn("offset", F.col("offset") + F.coalesce("__cut", F.lit(0))).drop("__cut")
-    return _joined(facts, kept, by).select(*by, "item", "lb", "offset", "weight")
+    ranked = few.withColumn("__rank", F.row_number().over(group.orderBy(F.desc_nulls_last("lb"))))
+    cut = F.coalesce(F.max(F.when(F.col("__rank") == keep + 1, F.col("lb"))).over(group), F.lit(0))
+    ranked = ranked.withColumn("__cut", cut).where("item is null or lb > __cut")
+    return ranked.select(*by, "item", (F.col("lb") - F.col("__cut")).alias("lb"), (F.col("offset") + F.col("__cut")).alias("offset"), "weight")
 
 
 def build(df: DataFrame, item: str, max_map_size: int, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
@@ -74,27 +73,33 @@ def build(df: DataFrame, item: str, max_map_size: int, by: Sequence[str] = (), c
     checked = F.when(w < 0, F.raise_error(F.lit("counts must not be negative")).cast("long")).otherwise(w)
     rows = df.select(*by, F.col(item).alias("item"), checked.alias("__w")).where("item is not null")
     counts = rows.groupBy(*by, "item").agg(F.sum("__w").alias("lb")).where("lb > 0")
-    totals = rows.groupBy(*by).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("weight"), F.lit(0).cast("long").alias("offset"))
-    return _purge(counts, by, keep, totals)
+    facts = rows.groupBy(*by).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("weight"))
+    facts = facts.select(*by, F.lit(None).cast(rows.schema["item"].dataType).alias("item"), F.lit(None).cast("long").alias("lb"), F.lit(0).cast("long").alias("offset"), "weight")
+    none = F.lit(None).cast("long")
+    return _purge(counts.select(*by, "item", "lb", none.alias("offset"), none.alias("weight")).unionByName(facts), by, keep)
 
 
 def merge(*states: DataFrame, max_map_size: int, by: Sequence[str] = ()) -> DataFrame:
     """Adds states; a coarser `by` rolls groups up. Weights and offsets add also where nothing is tracked."""
     rows = None
-    for i, s in enumerate(states):
-        one = s.withColumn("__in", F.lit(i))
+    for s in states:
+        one = s.select(*by, "item", "lb", "offset", "weight")
         rows = one if rows is None else rows.unionByName(one)
-    finer = [c for c in rows.columns if c not in ("item", "lb", "offset", "weight")]
-    totals = rows.select(*finer, "offset", "weight").distinct().groupBy(*by).agg(F.sum("weight").alias("weight"), F.sum("offset").alias("offset"))
-    counts = rows.where("item is not null").groupBy(*by, "item").agg(F.sum("lb").alias("lb"))
-    return _purge(counts, by, capacity(max_map_size), totals)
+    added = rows.groupBy(*by, "item").agg(*[F.sum(c).alias(c) for c in ("lb", "offset", "weight")])
+    return _purge(added, by, capacity(max_map_size))
+
+
+def facts(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, offset, weight: a row a group."""
+    return state.where(F.col("item").isNull()).select(*by, "offset", "weight")
 
 
 def rows_of(state: DataFrame) -> DataFrame:
-    """item, estimate, lower_bound, upper_bound of the tracked items."""
+    """item, estimate, lower_bound, upper_bound of the tracked items, and their group's offset."""
     by = [c for c in state.columns if c not in ("item", "lb", "offset", "weight")]
+    tracked = _joined(state.where("item is not null").select(*by, "item", "lb"), facts(state, by).select(*by, "offset"), by)
     upper = F.col("lb") + F.col("offset")
-    return state.where("item is not null").select(*by, "item", upper.alias("estimate"), F.col("lb").alias("lower_bound"), upper.alias("upper_bound"), "offset")
+    return tracked.select(*by, "item", upper.alias("estimate"), F.col("lb").alias("lower_bound"), upper.alias("upper_bound"), "offset")
 
 
 def frequent_items(state: DataFrame, no_false_positives: bool = True, threshold: int = 0) -> DataFrame:
@@ -109,8 +114,7 @@ def frequent_items(state: DataFrame, no_false_positives: bool = True, threshold:
 
 def estimates(state: DataFrame, probes: DataFrame, item: str, by: Sequence[str] = ()) -> DataFrame:
     """probes with estimate, lower_bound, upper_bound; an untracked item has 0, 0 and the offset."""
-    facts = state.groupBy(*by).agg(F.max("offset").alias("__offset"))
-    asked = _joined(probes.select(*by, F.col(item).alias("__item")).distinct(), facts, by)
+    asked = _joined(probes.select(*by, F.col(item).alias("__item")).distinct(), facts(state, by).select(*by, F.col("offset").alias("__offset")), by)
     right = state.where("item is not null").select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("item").alias("__tracked"), "lb")
     found = asked.join(right, [asked["__item"] == right["__tracked"], *[asked[c].eqNullSafe(right[f"__r_{c}"]) for c in by]], "left")
     offset = F.coalesce("__offset", F.lit(0))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import SketchArgumentError
 from ..functions.bounds import check_deviations
 from ..functions.coupons import distinct_for
-from ..functions.hashing import DEFAULT_SEED, leading_zeros, with_hash
+from ..functions.hashing import DEFAULT_SEED, leading_zeros, with_counted_hash
 from ..functions.relative_errors import hll_error
 from .theta import _joined
 
@@ -43,7 +43,7 @@ def coupon_columns(h1: Column, h2: Column) -> tuple[Column, Column]:
 
 def coupons(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = DEFAULT_SEED) -> DataFrame:
     """by, slot26, value: hashed once, they feed states of any lg_k. Null keys are left out."""
-    rows = with_hash(df.select(*by, F.col(key).alias("__key")), "__key", "__h1", "__h2", seed).where("__h1 is not null")
+    rows = with_counted_hash(df.select(*by, F.col(key).alias("__key")), "__key", "__h1", "__h2", seed)
     slot, value = coupon_columns(F.col("__h1"), F.col("__h2"))
     return rows.select(*by, slot.alias("slot26"), value.alias("value"))
 

@@ -48,15 +48,15 @@ def compress(means: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray
     cuts, start = [0, 1], 1
     while start < n - 1:
         q0 = upto[start] / total
-        # The far end can grow while its weight is at most total * the larger of the limits at both ends.
+        # The far end can grow while its weight is at most total * the smaller of the limits at both ends.
         low, high = start + 1, n - 1
         step = 1
-        while low + step <= high and upto[low + step] - upto[start] <= total * max(limit(q0), limit(upto[low + step] / total)):
+        while low + step <= high and upto[low + step] - upto[start] <= total * min(limit(q0), limit(upto[low + step] / total)):
             low += step
             step *= 2
         while step > 1:
             step //= 2
-            if low + step <= high and upto[low + step] - upto[start] <= total * max(limit(q0), limit(upto[low + step] / total)):
+            if low + step <= high and upto[low + step] - upto[start] <= total * min(limit(q0), limit(upto[low + step] / total)):
                 low += step
         cuts.append(low)
         start = low

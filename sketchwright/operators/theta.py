@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ..errors import SketchArgumentError
 from ..functions.bounds import check_deviations, ratio_bounds, sampled_bounds
 from ..functions.hashing import DEFAULT_SEED, seed_hash, with_hash
+from ..sources import codecs
 
 MAX_THETA = 2**63 - 1
 MIN_LG_K, MAX_LG_K, DEFAULT_LG_K = 5, 26, 12
-#: How far above the expected k-th hash a pre-filter stays.
-SLACK = 1.5
+#: Key types whose built-in aggregate hashes the same bytes as with_hash.
+NATIVE_TYPES = ("byte", "short", "integer", "long", "string", "binary")
 
 
 def check_lg_k(lg_k: int) -> int:
@@ -42,58 +43,94 @@ def hashed(df: DataFrame, key: str, seed: int = DEFAULT_SEED, skip_empty: bool =
 
 
 
-
 def _trim(rows: DataFrame, by: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
-    """rows: by, hash (distinct in a group, or null), theta, is_empty, lg_k, carried -> trimmed state, a null row only where nothing is kept."""
+    """rows: by, hash (distinct in a group, or null), theta, is_empty, lg_k, carried -> trimmed state, a null row only where nothing is kept.
+
+    A group's k smallest hashes are ranked in two steps: first within the tasks that hold its rows, then
+    among their survivors, at most k + 1 a task; so no task ranks all hashes of many merged states.
+    """
+    k = F.pow(F.lit(2), F.col("lg_k")).cast("int")
+    rows = rows.withColumn("hash", F.when(F.col("hash") < F.col("theta"), F.col("hash"))).withColumn("__slice", F.spark_partition_id())
+    near = Window.partitionBy(*by, "__slice").orderBy(F.col("hash").asc_nulls_last())
+    rows = rows.withColumn("__rank", F.row_number().over(near)).where(F.col("__rank") <= k + 1).drop("__slice", "__rank")
     order = Window.partitionBy(*by).orderBy(F.col("hash").asc_nulls_last())
     group = Window.partitionBy(*by)
-    k = F.pow(F.lit(2), F.col("lg_k")).cast("int")
-    below = F.when(F.col("hash") < F.col("theta"), F.col("hash"))
-    ranked = rows.withColumn("hash", below).withColumn("__rank", F.row_number().over(order))
+    ranked = rows.withColumn("__rank", F.row_number().over(order))
     ranked = ranked.withColumn("__cut", F.min(F.when(F.col("__rank") == k + 1, F.col("hash"))).over(group))
     ranked = ranked.withColumn("theta", F.least("theta", F.coalesce("__cut", F.lit(MAX_THETA))))
     kept = ranked.where("hash < theta or __rank = 1")
     return kept.select(*by, F.when(F.col("hash") < F.col("theta"), F.col("hash")).alias("hash"), "theta", "is_empty", "lg_k", *carried)
 
 
-def _sampled(rows: DataFrame, by: Sequence[str], lg_k: int, p: float, prefilter: bool) -> tuple[DataFrame, DataFrame]:
-    """(groups, below): by, theta, is_empty of each group, and the rows whose hash is under its theta.
+def _native(df: DataFrame, key: str, by: Sequence[str], lg_k: int) -> DataFrame:
+    """by, theta, is_empty, hashes array of the groups, by Spark's own aggregate.
 
-    One aggregate with map-side combine estimates each group's distinct hashes; those far above the k-th
-    smallest are dropped before anything is shuffled by hash. What this hint cuts off is a group's theta
-    where fewer than k hashes are left, so the state is a right sample in any case.
+    It is one pass with a map-side combine: what is shuffled is a sample for each task and group. It keeps
+    at least the k smallest hashes and a threshold that is the next one, so trimming it to k gives the state.
     """
-    theta0, k = start_theta(p), 1 << lg_k
-    counted = (F.col("hash") > 0) & (F.col("hash") < theta0)
-    sizes = [F.approx_count_distinct(F.when(counted, F.col("hash")), 0.02).alias("__n")] if prefilter else [F.lit(0).alias("__n")]
-    groups = rows.groupBy(*by).agg((F.count("hash") == 0).alias("is_empty"), *sizes)
-    hint = F.when(F.col("__n") > 4 * k, (F.lit(float(theta0)) * (SLACK * k) / F.col("__n")).cast("long")).otherwise(F.lit(theta0))
-    theta = F.when(F.col("is_empty"), F.lit(MAX_THETA)).otherwise(hint)
-    groups = groups.select(*by, theta.alias("theta"), "is_empty")
-    if prefilter:
-        below = _joined(rows.where(counted), groups, by, "inner").where("hash < theta")
-    else:
-        below = rows.where(counted).withColumns({"theta": F.lit(theta0), "is_empty": F.lit(False)})
-    return groups, below
-
-
-def build(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT_LG_K, p: float = 1.0, seed: int = DEFAULT_SEED, prefilter: bool = True, skip_empty: bool = True) -> DataFrame:
-    """The state of the distinct keys of each group. Null keys are not counted; a group with none is empty."""
-    check_lg_k(lg_k)
-    seed_hash(seed)
-    rows = hashed(df.select(*by, F.col(key).alias("__key")), "__key", seed, skip_empty).select(*by, "hash")
-    groups, below = _sampled(rows, by, lg_k, p, prefilter)
-    distinct = below.select(*by, "hash", "theta", "is_empty").distinct()
-    state = distinct.unionByName(groups.withColumn("hash", F.lit(None).cast("long")))
-    return _trim(state.withColumn("lg_k", F.lit(lg_k)), by)
+    kind = df.schema[key].dataType.typeName()
+    value = F.col(key) if kind in ("string", "binary") else F.col(key).cast("long")
+    k = 1 << lg_k
+
+    @F.pandas_udf("theta long, is_empty boolean, hashes array<long>")
+    def unpack(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            found = codecs.decode_theta(bytes(v))
+            hashes = sorted(found.hashes)
+            out.append((hashes[k] if len(hashes) > k else found.theta, found.empty, hashes[:k]))
+        return pd.DataFrame(out, columns=["theta", "is_empty", "hashes"])
+
+    rows = df.groupBy(*by).agg(F.theta_sketch_agg(value, lg_k).alias("__s")).withColumn("__s", unpack("__s"))
+    return rows.select(*by, "__s.theta", "__s.is_empty", "__s.hashes")
+
+
+def _is_native(df: DataFrame, key: str, p: float, seed: int, skip_empty: bool) -> bool:
+    return p == 1 and seed == DEFAULT_SEED and skip_empty and df.schema[key].dataType.typeName() in NATIVE_TYPES
 
 
-def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
-    """Joins on the group columns, nulls equal; without group columns b is a single row."""
+def build(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT_LG_K, p: float = 1.0, seed: int = DEFAULT_SEED, native: bool = True, skip_empty: bool = True) -> DataFrame:
+    """The state of the distinct keys of each group. Null keys are not counted; a group with none is empty.
+
+    Whole samples of the usual seed come from the built-in aggregate (native); others are hashed in
+    columns, made distinct by one aggregate, and trimmed. Both give the same state.
+    """
+    check_lg_k(lg_k)
+    seed_hash(seed)
+    rows = df.select(*by, F.col(key).alias("__key"))
+    if native and _is_native(rows, "__key", p, seed, skip_empty):
+        found = _native(rows, "__key", by, lg_k)
+        return found.select(*by, F.explode_outer("hashes").alias("hash"), "theta", "is_empty", F.lit(lg_k).alias("lg_k"))
+    distinct = sampled(rows, "__key", by, p, seed, skip_empty).groupBy(*by, "hash").agg(F.max("counted").alias("__seen"))
+    return _started(distinct, by, lg_k, p)
+
+
+def sampled(rows: DataFrame, key: str, by: Sequence[str], p: float, seed: int, skip_empty: bool = True, carried: Sequence[str] = ()) -> DataFrame:
+    """by, carried, hash (null if out of the sample), counted (whether there is a key). A projection, no filter: Spark would push a
+    filter on the hash below the steps that compute it, and the whole hash would be written out in it, twice at each step."""
+    found = hashed(rows, key, seed, skip_empty)
+    inside = (F.col("hash") > 0) & (F.col("hash") < start_theta(p))
+    out = found.select(*by, *carried, F.when(inside, F.col("hash")).alias("hash"), F.col("hash").isNotNull().alias("counted"))
+    if by:
+        return out
+    none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in (*carried, "hash")]  # the one group is present on empty input too
+    return out.unionByName(rows.sparkSession.range(1).select(*none, F.lit(False).alias("counted")))
+
+
+def _started(distinct: DataFrame, by: Sequence[str], lg_k: int, p: float, carried: Sequence[str] = ()) -> DataFrame:
+    """The state of distinct rows by, hash, __seen, carried. A group's null row stays only where nothing else does, and says whether it saw a key."""
+    start = start_theta(p)
+    rows = distinct.select(*by, "hash", *carried, "__seen", F.lit(start).alias("theta"), F.lit(False).alias("is_empty"), F.lit(lg_k).alias("lg_k"))
+    rows = _trim(rows, by, [*carried, "__seen"]).withColumn("is_empty", ~F.col("__seen"))
+    return rows.select(*by, "hash", F.when(F.col("is_empty"), F.lit(MAX_THETA)).otherwise(F.col("theta")).alias("theta"), "is_empty", "lg_k", *carried)
+
+
+def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left", where: Column | None = None) -> DataFrame:
+    """Joins on the group columns, nulls equal, and `where`; without group columns one of a and b is a single row."""
     if not by:
-        return a.join(b, F.lit(True), how)
+        return a.join(b, F.lit(True) if where is None else where, how)
     right = b.select(*[F.col(c).alias(f"__r_{c}") for c in by], *[c for c in b.columns if c not in by])
-    on = [a[c].eqNullSafe(right[f"__r_{c}"]) for c in by]
+    on = [a[c].eqNullSafe(right[f"__r_{c}"]) for c in by] + ([] if where is None else [where])
     return a.join(right, on, how).drop(*[f"__r_{c}" for c in by])
 
 

@@ -51,15 +51,25 @@ TEXT = Policy(text_concat, text_concat)
 
 
 def build(df: DataFrame, key: str, value: str, by: Sequence[str] = (), policy: Policy = SUM, lg_k: int = theta.DEFAULT_LG_K, p: float = 1.0, seed: int = DEFAULT_SEED) -> DataFrame:
-    """The state of (key, value) rows. Values of hashes above a group's theta are dropped before the aggregation by key."""
+    """The state of (key, value) rows.
+
+    Where the built-in aggregate can tell each group's theta, a first pass does, and values of hashes above
+    it are dropped in a join with a row a group, before anything is shuffled by key. (The condition takes
+    nulls, or Spark would derive a filter on the hash and write the whole hash out in it.)
+    """
     theta.check_lg_k(lg_k)
     seed_hash(seed)
-    rows = theta.hashed(df.select(*by, F.col(key).alias("__key"), F.col(value).alias("__value")), "__key", seed).select(*by, "hash", "__value")
-    groups, below = theta._sampled(rows, by, lg_k, p, True)
-    keyed = below.groupBy(*by, "hash", "theta", "is_empty").agg(policy.update(F.col("__value")).alias("summary"))
-    kind = keyed.schema["summary"].dataType
-    state = keyed.unionByName(groups.withColumns({"hash": F.lit(None).cast("long"), "summary": F.lit(None).cast(kind)}))
-    return theta._trim(state.withColumn("lg_k", F.lit(lg_k)), by, ["summary"])
+    rows = df.select(*by, F.col(key).alias("__key"), F.col(value).alias("__value"))
+    keyed = theta.sampled(rows, "__key", by, p, seed, carried=["__value"])
+    if not theta._is_native(rows, "__key", p, seed, True):
+        value = F.when(F.col("hash").isNotNull(), F.col("__value"))
+        each = keyed.groupBy(*by, "hash").agg(F.max("counted").alias("__seen"), policy.update(value).alias("summary"))
+        return theta._started(each, by, lg_k, p, ["summary"])
+    groups = theta._native(rows.drop("__value"), "__key", by, lg_k).select(*by, F.col("theta").alias("__theta"), "is_empty")
+    below = theta._joined(keyed, groups.drop("is_empty"), by, "inner", F.coalesce("hash", F.lit(theta.MAX_THETA)) < F.col("__theta"))
+    each = below.groupBy(*by, "hash").agg(policy.update(F.col("__value")).alias("summary"))
+    state = theta._joined(groups, each, by)
+    return state.select(*by, "hash", F.col("__theta").alias("theta"), "is_empty", F.lit(lg_k).alias("lg_k"), "summary")
 
 
 def union(*states: DataFrame, by: Sequence[str] = (), policy: Policy = SUM, lg_k: int | None = None) -> DataFrame:

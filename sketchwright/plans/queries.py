@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import murmur3_sql, xxh64_sql
 from ..operators import bloom, countmin, cpc, frequent, hll, tdigest, theta, tuples
 from ..streaming import rollups
+from .rollup import SketchTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX = theta.MAX_THETA
@@ -263,21 +264,39 @@ def countmin_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countmin.estimate(countmin.build(rows, "l_suppkey", CM), rows, "l_suppkey", CM)
 
 
-def countmin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").withColumn("qty", F.col("l_quantity").cast("long"))
     return countmin.build(rows, "l_partkey", CM, [FLAG], "qty")
 
 
+def countmin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countmin.counters(_quantities(spark, sf_dir), [FLAG])
+
+
 def countmin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countmin.merge(countmin_table(spark, sf_dir))
+    return countmin.counters(countmin.merge(_quantities(spark, sf_dir)))
+
+
+def countmin_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines, a table for each of their numbers in the order, rolled up to all: bounds of every supplier."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("half", F.pmod("l_orderkey", F.lit(2)))
+    fine = SketchTable(countmin.build(rows, "l_suppkey", CM, [FLAG, "half"]), [FLAG, "half"], countmin.merge)
+    return countmin.estimate(fine.rollup([FLAG]), rows.select(FLAG, "l_suppkey"), "l_suppkey", CM, [FLAG])
+
+
+def countmin_equal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups of the same weight, rolled up: their totals must add although they are equal."""
+    rows = spark.range(210).select((F.col("id") % 3).alias("part"), (F.col("id") % 7).alias("item"))
+    fine = SketchTable(countmin.build(rows, "item", CM, ["part"]), ["part"], countmin.merge)
+    return countmin.total_weight(fine.rollup())
 
 
 def countmin_halve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countmin.halve(countmin_table(spark, sf_dir)).select(FLAG, "row", "bucket", "cnt", "total")
+    return countmin.counters(countmin.halve(_quantities(spark, sf_dir)), [FLAG])
 
 
 def countmin_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countmin.decay(countmin_table(spark, sf_dir), 0.25)
+    return countmin.counters(countmin.decay(_quantities(spark, sf_dir), 0.25), [FLAG])
 
 
 def _cm_sql(source: str, key: str, columns: str) -> str:
@@ -385,6 +404,21 @@ def frequent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.rows_of(frequent.merge(state, max_map_size=64)).drop("offset")
 
 
+def frequent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purged states of both line statuses and two halves, rolled up by return flag: bounds, offset and weight of what stays."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("half", F.pmod("l_orderkey", F.lit(2)))
+    state = frequent.build(rows, "l_suppkey", 16, [FLAG, "half"])
+    fine = SketchTable(state, [FLAG, "half"], frequent.merge, {"max_map_size": 16}).rollup([FLAG])
+    return frequent.rows_of(fine).join(frequent.facts(fine, [FLAG]).select(FLAG, "weight"), FLAG)
+
+
+def frequent_equal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups of the same weight and offset, rolled up."""
+    rows = spark.range(210).select((F.col("id") % 3).alias("part"), (F.col("id") % 7).alias("item"))
+    fine = SketchTable(frequent.build(rows, "item", 8, ["part"]), ["part"], frequent.merge, {"max_map_size": 8})
+    return frequent.statistics(fine.rollup())
+
+
 def frequent_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem")
     state = frequent.build(rows, "l_suppkey", HITTERS)
@@ -498,6 +532,22 @@ SELECT item AS l_suppkey, min(cnt) AS estimate, min(cnt) AS lower_bound,
   min(cnt) + CAST(floor((SELECT sum(w) FROM pre) * ({CM.relative_error!r})::DOUBLE) AS BIGINT) AS upper_bound FROM cells JOIN tab USING (row, bucket) GROUP BY 1""",
         "countmin_table": f"{_CM_TABLE_SQL} SELECT * FROM state",
         "countmin_merge": f"{_CM_TABLE_SQL} SELECT row, bucket, CAST(sum(cnt) AS BIGINT) AS cnt, (SELECT CAST(sum(total) AS BIGINT) FROM tot) AS total FROM state GROUP BY 1, 2",
+        "countmin_rollup": f"""WITH pre AS (SELECT {FLAG}, l_suppkey, count(*) AS w FROM lineitem GROUP BY 1, 2),
+{_cm_sql("pre", "l_suppkey", f"{FLAG}, w")},
+tab AS (SELECT {FLAG}, row, bucket, CAST(sum(w) AS BIGINT) AS cnt FROM cells GROUP BY 1, 2, 3), tot AS (SELECT {FLAG}, sum(w) AS total FROM pre GROUP BY 1)
+SELECT {FLAG}, item AS l_suppkey, min(cnt) AS estimate, min(cnt) AS lower_bound, min(cnt) + CAST(floor(max(total) * ({CM.relative_error!r})::DOUBLE) AS BIGINT) AS upper_bound
+FROM cells JOIN tab USING ({FLAG}, row, bucket) JOIN tot USING ({FLAG}) GROUP BY 1, 2""",
+        "countmin_equal_groups": "SELECT 210::BIGINT AS total_weight, FALSE AS is_empty",
+        "frequent_equal_groups": "SELECT count(*) FILTER (n > cut) AS num_active, 210::BIGINT AS total_weight, max(cut) AS maximum_error, count(*) FILTER (n > cut) = 0 AS is_empty FROM (SELECT item, sum(n) AS n, CAST(30 AS BIGINT) AS cut FROM (SELECT range % 7 AS item, 1 AS n FROM range(210)) GROUP BY 1)",
+        "frequent_rollup": f"""WITH c AS (SELECT {FLAG}, l_orderkey % 2 AS half, l_suppkey AS item, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY {FLAG}, half ORDER BY n DESC) AS r FROM c),
+k AS (SELECT {FLAG}, half, coalesce(max(CASE WHEN r = 13 THEN n END), 0) AS cut, sum(n) AS weight FROM r GROUP BY 1, 2),
+m AS (SELECT {FLAG}, item, CAST(sum(n - cut) AS BIGINT) AS lb FROM c JOIN k USING ({FLAG}, half) WHERE n > cut GROUP BY 1, 2),
+t AS (SELECT {FLAG}, sum(cut) AS offset_, CAST(sum(weight) AS BIGINT) AS weight FROM k GROUP BY 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY {FLAG} ORDER BY lb DESC) AS r FROM m),
+f AS (SELECT {FLAG}, coalesce(max(CASE WHEN r = 13 THEN lb END), 0) AS cut FROM s GROUP BY 1)
+SELECT {FLAG}, item, CAST(lb + offset_ AS BIGINT) AS estimate, lb - cut AS lower_bound, CAST(lb + offset_ AS BIGINT) AS upper_bound, CAST(offset_ + cut AS BIGINT) AS offset, weight
+FROM m JOIN f USING ({FLAG}) JOIN t USING ({FLAG}) WHERE lb > cut""",
         "countmin_halve": f"{_CM_TABLE_SQL} SELECT {FLAG}, row, bucket, cnt // 2 AS cnt, total // 2 AS total FROM state",
         "countmin_decay": f"{_CM_TABLE_SQL} SELECT {FLAG}, row, bucket, CAST(floor(cnt * 0.25) AS BIGINT) AS cnt, CAST(floor(total * 0.25) AS BIGINT) AS total FROM state",
         "bloom_words": f"{_BLOOM_SQL} SELECT word, {_BITS_SQL} AS bits FROM w",

@@ -136,23 +136,25 @@ def countmin_to_binary(state: DataFrame, config: countmin.Config, by: Sequence[s
             out.append(codecs.encode_countmin(dense, 0 if pd.isna(t) else int(t), config.seed))
         return pd.Series(out)
 
-    rows = state.groupBy(*by).agg(F.collect_list(F.struct("row", "bucket", "cnt")).alias("c"), F.max("total").alias("total"))
+    total = F.col("row") == countmin.TOTAL
+    cells = F.collect_list(F.when(~total, F.struct("row", "bucket", "cnt")))
+    rows = state.groupBy(*by).agg(cells.alias("c"), F.max(F.when(total, F.col("cnt"))).alias("total"))
     return rows.select(*by, pack("c.row", "c.bucket", "c.cnt", "total").alias("sketch"))
 
 
 def countmin_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = (), seed: int = DEFAULT_SEED, kind: str = "i64") -> DataFrame:
-    @F.pandas_udf("rows array<int>, buckets array<int>, counts array<long>, total long")
+    @F.pandas_udf("rows array<int>, buckets array<int>, counts array<long>")
     def unpack(values: pd.Series) -> pd.DataFrame:
         rows = []
         for v in values:
             dense, total = codecs.decode_countmin(bytes(v), seed, kind)
             r, b = np.nonzero(dense)
-            rows.append((r.tolist(), b.tolist(), dense[r, b].tolist(), total))
-        return pd.DataFrame(rows, columns=["rows", "buckets", "counts", "total"])
+            rows.append(([countmin.TOTAL, *r.tolist()], [0, *b.tolist()], [total, *dense[r, b].tolist()]))
+        return pd.DataFrame(rows, columns=["rows", "buckets", "counts"])
 
     found = df.where(F.col(sketch).isNotNull()).withColumn("__s", unpack(sketch))
-    cells = found.select(*by, F.explode(F.arrays_zip("__s.rows", "__s.buckets", "__s.counts")).alias("__c"), F.col("__s.total").alias("total"))
-    return cells.select(*by, F.col("__c.rows").alias("row"), F.col("__c.buckets").alias("bucket"), F.col("__c.counts").alias("cnt"), "total")
+    cells = found.select(*by, F.explode(F.arrays_zip("__s.rows", "__s.buckets", "__s.counts")).alias("__c"))
+    return cells.select(*by, F.col("__c.rows").alias("row"), F.col("__c.buckets").alias("bucket"), F.col("__c.counts").alias("cnt"))
 
 
 def frequent_to_binary(state: DataFrame, lg_max: int, by: Sequence[str] = (), kind: str = "i64") -> DataFrame:
@@ -176,12 +178,13 @@ def frequent_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str
         rows = []
         for v in values:
             items, _, weight, offset = codecs.decode_frequent(bytes(v), kind)
-            rows.append(([i for i, _ in items], [c for _, c in items], weight, offset))
+            rows.append(([None, *(i for i, _ in items)], [None, *(c for _, c in items)], weight, offset))
         return pd.DataFrame(rows, columns=["items", "counts", "weight", "offset"])
 
     found = df.where(F.col(sketch).isNotNull()).withColumn("__s", unpack(sketch))
-    cells = found.select(*by, F.explode_outer(F.arrays_zip("__s.items", "__s.counts")).alias("__c"), F.col("__s.offset").alias("offset"), F.col("__s.weight").alias("weight"))
-    return cells.select(*by, F.col("__c.items").alias("item"), F.col("__c.counts").alias("lb"), "offset", "weight")
+    cells = found.select(*by, F.explode(F.arrays_zip("__s.items", "__s.counts")).alias("__c"), "__s")
+    fact = F.col("__c.items").isNull()
+    return cells.select(*by, F.col("__c.items").alias("item"), F.col("__c.counts").alias("lb"), F.when(fact, F.col("__s.offset")).alias("offset"), F.when(fact, F.col("__s.weight")).alias("weight"))
 
 
 def tdigest_to_binary(state: DataFrame, by: Sequence[str] = (), k: int = DEFAULT_K) -> DataFrame:

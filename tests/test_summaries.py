@@ -73,11 +73,24 @@ def test_theta_estimates(spark, n):
         assert r.estimate == n and not r.is_estimation_mode
 
 
-def test_theta_prefilter_changes_nothing(spark):
-    a, b = (sorted(map(tuple, sketch(spark, 0, 60_000, lg_k=8, prefilter=p).collect())) for p in (True, False))
+def test_theta_is_the_same_by_the_built_in_and_by_columns(spark):
+    for n in (0, 100, 60_000):
+        a, b = (sorted(map(str, sketch(spark, 0, n, lg_k=8, native=p).collect())) for p in (True, False))
+        assert a == b
+    df = spark.range(20_000).select(F.when(F.col("id") % 9 > 0, F.col("id").cast("string")).alias("k"), (F.col("id") % 3).alias("g"))
+    df = df.unionByName(spark.createDataFrame([(None, 7), ("", 8), ("x", None)], "k string, g long"))
+    a, b = (sorted(map(str, theta.build(df, "k", ["g"], lg_k=7, native=p).collect())) for p in (True, False))
     assert a == b
 
 
+def test_tuples_are_the_same_by_both_ways(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") % 7000).alias("k"), (F.col("id") % 3).alias("g"), F.lit(2).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 7, 1), (5, None, 1)], "k long, g long, v int"))
+    ways = [sorted(map(str, tuples.build(df, "k", "v", ["g"], lg_k=7).collect())), sorted(map(str, tuples.build(df, "k", "v", lg_k=7).collect()))]
+    monkeypatch.setattr(theta, "NATIVE_TYPES", ())
+    assert ways == [sorted(map(str, tuples.build(df, "k", "v", ["g"], lg_k=7).collect())), sorted(map(str, tuples.build(df, "k", "v", lg_k=7).collect()))]
+
+
 def test_theta_agrees_with_the_built_in(spark):
     rows = spark.range(3000)
     stored = one(rows.agg(F.theta_sketch_agg("id", 12).alias("s"))).s
@@ -296,6 +309,21 @@ def test_countmin(spark):
         countmin.Config(1, 2)
 
 
+def test_rollups_add_equal_groups(spark):
+    df = spark.createDataFrame([(g, i % 9, w) for g, n, w in (("a", 30, 1), ("b", 30, 1), ("c", 20, 1)) for i in range(n)], "g string, item long, w long")
+    config = countmin.Config(3, 64)
+    table = SketchTable(countmin.build(df, "item", config, ["g"]), ["g"], countmin.merge)
+    assert one(countmin.total_weight(table.rollup())).total_weight == 80
+    found = {r.item: r for r in countmin.estimate(table.rollup(), df, "item", config).collect()}
+    whole = {r.item: r for r in countmin.estimate(countmin.build(df, "item", config), df, "item", config).collect()}
+    assert found == whole
+    state = SketchTable(frequent.build(df, "item", 8, ["g"]), ["g"], frequent.merge, {"max_map_size": 8}).rollup()
+    facts, true = one(frequent.statistics(state)), {r.item: r["count"] for r in df.groupBy("item").count().collect()}
+    assert facts.total_weight == 80
+    for r in frequent.estimates(state, df, "item").collect():
+        assert r.lower_bound <= true[r.item] <= r.upper_bound
+
+
 def test_frequent_items(spark):
     rows = [(1, 10), *((i, 1) for i in range(2, 7)), (7, 15), *((i, 1) for i in range(8, 13))]
     state = frequent.build(spark.createDataFrame(rows, "item long, n long"), "item", 8, count="n")
