@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import met, written
+
+
+def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the smallest neighbour of u; and (u, m, n), a row a node. The centre of a large star has many edges: it is met as a hot key."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return met(edges, least, "u", "n", total, F.xxhash64("v")), least
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,15 +24,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = written(e, name)
     while True:
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        nodes = new.groupBy("u").agg(F.count("*").alias("n"))
-        inner = new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u")
-        e = new
+        near, _ = _with_least(both, total)
+        large = written(near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), name)
+        near, least = _with_least(large, total)
+        moved = near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        nodes = e.groupBy("u").agg(F.count("*").alias("n"))
+        inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u")
         if nodes.where("n > 1").isEmpty() and inner.isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, plain_text, range_of, splitters, written
+from .common import SPACES, plain_text, splitters, whole, with_range, written
 
 #: Samples of a fingerprint, and how many of them one generated row computes (more would make methods that the JIT leaves alone).
 SAMPLES, AT_ONCE = 32, 8
-#: Rows of a range in which the next document is looked up, at least.
-RANGE_ROWS = 1000
+#: Units of a range in which the next document is looked up, at least and at most; a text has one for each UNIT bytes begun.
+RANGE_UNITS, MOST_UNITS, UNIT = 1000, 32_000, 8192
 
 
 def sorted_terms(text: Column) -> Column:
@@ -56,21 +56,19 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     the order of their texts.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), plain_text(F.col(text)).alias("text"))
-    cuts = splitters(slim, "doc_id", RANGE_ROWS)
-    part = range_of(F.col("doc_id"), cuts)
-    heads = {r["part"]: r["head"] for r in slim.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    slim = docs.select(whole(key).alias("doc_id"), plain_text(F.col(text)).alias("text"))
+    units = 1 + F.floor(F.octet_length("text") / UNIT)
+    cuts = splitters(slim.where("doc_id is not null"), "doc_id", units, RANGE_UNITS, MOST_UNITS)
+    slim = with_range(slim, "doc_id", cuts, "part")
+    heads = {r["part"]: r["head"] for r in slim.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     if not heads:
-        return slim.select(F.lit(0).alias("part"), F.lit(1).alias("place"), "*", F.lit("").alias("next_text"), F.lit(0).alias("next_part"), F.lit(1).alias("next_place"))
+        return slim.select("part", F.lit(1).alias("place"), "doc_id", "text", F.lit("").alias("next_text"), F.lit(0).alias("next_part"), F.lit(1).alias("next_place"))
     downwards = sorted(heads, reverse=True)
     after = spark.createDataFrame([(heads[n], n, p) for p, n in zip(downwards, [*downwards[1:], downwards[0]])], "head long, from_part int, part int")
-    known = [h for h in heads.values() if h is not None]
-    wanted = F.col("doc_id").isin(known) if known else F.lit(False)
-    if len(known) < len(heads):
-        wanted = wanted | F.col("doc_id").isNull()
-    firsts = slim.where(wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
-    copies = firsts.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("head")))  # a row a range
-    rows = slim.select(part.alias("part"), F.lit(0).alias("late"), "doc_id", "text", F.lit(0).alias("from_part"))
+    # The ranges' heads: a row of three numbers a range, so a few MB at most; no hint, Spark sees the size.
+    firsts = slim.drop("part").join(after, F.col("doc_id").eqNullSafe(F.col("head")))
+    copies = firsts.groupBy("doc_id", "part", "from_part").agg(F.min("text").alias("text"))
+    rows = slim.select("part", F.lit(0).alias("late"), "doc_id", "text", F.lit(0).alias("from_part"))
     rows = rows.unionByName(copies.select("part", F.lit(1).alias("late"), "doc_id", "text", "from_part"))
     order = Window.partitionBy("part").orderBy("late", F.col("doc_id").desc_nulls_last(), "text")
     seen = rows.select(

@@ -10,23 +10,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text, range_of, splitters
+from .common import plain_text, splitters, whole, with_range
 
-#: Rows of a part at least (splitters() makes them larger for large inputs). Parts hold whole documents; a part is the unit of a Python task.
-PART_ROWS = 1000
+#: Units of a part at least (they grow with the input), and at most. A text has a unit for each UNIT bytes begun. A part holds whole documents; it is the unit of a Python task.
+PART_UNITS, MOST_UNITS, UNIT = 1000, 8000, 8192
 
 
 def dealt(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """(part int, doc_id long, bytes binary) and the number of parts. Parts ascend with the id; null ids are in the last."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), plain_text(F.col(text)).cast("binary").alias("bytes"))
-    cuts = splitters(slim, "doc_id", PART_ROWS)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(range_of(F.col("doc_id"), cuts))
-    return slim.select(part.cast("int").alias("part"), "doc_id", "bytes"), len(cuts) + 2
+    """(part int, doc_id long, bytes binary) and the number of parts. Parts ascend with the id; null ids are in the last.
+
+    Parts are cut by the bytes of their texts: at most 64 MB, or one document if that is larger.
+    """
+    slim = docs.select(whole(key).alias("doc_id"), plain_text(F.col(text)).cast("binary").alias("bytes"))
+    units = 1 + F.floor(F.octet_length("bytes") / UNIT)
+    cuts = splitters(slim.where("doc_id is not null"), "doc_id", units, PART_UNITS, MOST_UNITS)
+    placed = with_range(slim, "doc_id", cuts, "part")
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.col("part"))
+    return placed.select(part.cast("int").alias("part"), "doc_id", "bytes"), len(cuts) + 2
 
 
 def buckets_for(parts: int) -> int:
     """Ranges of hash values: a power of two that grows with the parts, so a range's share of a part stays about as large."""
-    return 1 << max(4, min(19, (2 * parts - 1).bit_length()))
+    return 1 << max(4, (2 * parts - 1).bit_length())
 
 
 def in_order(table: pa.Table) -> tuple[pa.Array, list[bytes]]:

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text, written
+from .common import fresh, met, plain_text, whole, written
 from .components import components
 
 #: Blocks of a fingerprint; two with at most DISTANCE differing bits agree in BLOCKS - DISTANCE of them.
-DISTANCE, BLOCKS, PIVOTS = 4, 6, 8
+DISTANCE, BLOCKS = 4, 6
+#: Reference fingerprints, eight to a column of the pivot table.
+PIVOTS, TABLE = 32, ["near_0", "near_1", "near_2", "near_3"]
 #: A block value shared by more fingerprints than this is dealt out as pairs of chunks.
 CHUNK = 8192
 
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    slim = docs.select(whole(key).alias("doc_id"), F.col(text).alias("text"), *keep)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
     return slim.mapInArrow(run, "doc_id long, fp long" + more)
 
@@ -95,18 +97,36 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[low[keep]]
 
 
-def near_in(group: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that link all pairs of a group within distance; side: 0 and 1 pair with each other only, 2 with its like.
+def pivots() -> list[int]:
+    """The reference fingerprints, as signed 64-bit integers; the same in every run."""
+    return [int(p) for p in np.random.default_rng(20).integers(-(2**63), 2**63, PIVOTS, dtype=np.int64)]
 
-    Each fingerprint's distances to the pivots are computed once. Within a group, rows stand in the
-    order of the first coordinate, so partners whose first coordinates differ too much are never
-    visited; pairs are discarded by their largest coordinate difference, survivors are verified.
+
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """nodes with TABLE: the Hamming distances of fp to all pivots, a byte each, eight to a long.
+
+    By the triangle inequality two fingerprints differ in at least as many bits as any of these differ.
+    """
+    columns = {}
+    for i, name in enumerate(TABLE):
+        packed = F.lit(0).cast("long")
+        for j, pivot in enumerate(pivots()[8 * i : 8 * i + 8]):
+            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot))).cast("long"), 8 * j))
+        columns[name] = packed
+    return nodes.withColumns(columns)
+
+
+def near_in(group: np.ndarray, fp: np.ndarray, side: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Edges that link all pairs of a group within distance, and the numbers of pairs seen and of those the table left.
+
+    side: 0 and 1 pair with each other only, 2 with its like. table: a row of pivot distances for each
+    fingerprint. Rows of a group stand in the order of the first coordinate, so partners whose first
+    coordinates differ too much are never visited. Pairs are discarded by their largest coordinate
+    difference, eight coordinates at a time; what survives all PIVOTS of them is verified.
     """
-    pivots = np.random.default_rng(20).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    table = np.stack([np.bitwise_count(fp ^ p) for p in pivots], axis=1).astype(np.int8)
     order = np.lexsort((table[:, 0], group))
     group, fp, table, side = group[order], fp[order], table[order], side[order]
-    found_u, found_v, held = [], [], 0
+    found_u, found_v, held, seen, left = [], [], 0, 0, 0
     active, step = np.arange(len(fp)), 0
     while len(active):
         step += 1
@@ -117,8 +137,11 @@ def near_in(group: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int)
         other = active + step
         pair = (side[active] == 2) | (side[active] != side[other])
         i, j = active[pair], other[pair]
-        close = np.abs(table[i] - table[j]).max(axis=1) <= distance if len(i) else np.zeros(0, bool)
-        i, j = i[close], j[close]
+        seen += len(i)
+        for at in range(0, PIVOTS, 8):
+            close = (np.abs(table[i, at : at + 8] - table[j, at : at + 8]) <= distance).all(axis=1)
+            i, j = i[close], j[close]
+        left += len(i)
         same = np.bitwise_count(fp[i] ^ fp[j]) <= distance
         found_u.append(fp[i[same]])
         found_v.append(fp[j[same]])
@@ -127,27 +150,31 @@ def near_in(group: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int)
             u, v = _forest(np.concatenate(found_u), np.concatenate(found_v))
             found_u, found_v, held = [u], [v], len(u)
     if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _forest(np.concatenate(found_u), np.concatenate(found_v))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), seen, left
+    return *_forest(np.concatenate(found_u), np.concatenate(found_v)), seen, left
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): edges whose components are those of all pairs of distinct fp of nodes within distance.
+def compared(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(u, v, seen, left): edges whose components are those of all pairs of distinct fp of nodes within distance; rows without u and v count
+    the pairs that a piece of work saw and that the pivot table left to verify.
 
-    Fingerprints meet where BLOCKS - DISTANCE of their blocks agree. A block value that very many share
-    is split into chunks whose pairs are dealt out, so no task holds such a group whole.
+    Fingerprints meet where BLOCKS - DISTANCE of their blocks agree; there the pivot table decides which
+    pairs are looked at. A block value that very many share is split into chunks whose pairs are dealt out,
+    so no task holds such a group whole.
     """
     if distance > DISTANCE:
         raise ValueError(f"the tables find distances up to {DISTANCE}")
-    keyed = nodes.select("fp", F.explode(F.array(*_tables(F.col("fp")))).alias("key"))
+    keyed = pivot_table(nodes.select("fp")).select("fp", *TABLE, F.explode(F.array(*_tables(F.col("fp")))).alias("key"))
     full = keyed.groupBy("key").count().where(F.col("count") > CHUNK)
-    full = full.select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    # Each node has 15 rows, so at most 15 * nodes / CHUNK keys are full.
-    dealt = keyed.join(full, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    full = written(full.select("key", "count", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "simhash-full")
+    total = nodes.count() * len(_tables(F.col("fp")))
+    dealt = met(keyed, full, "key", "count", total, F.xxhash64("fp")) if not full.isEmpty() else keyed.withColumn("chunks", F.lit(1))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)
-    spread = dealt.select("fp", "key", "own", F.explode(others).alias("other"))
+    spread = dealt.select("fp", *TABLE, "key", "own", F.explode(others).alias("other"))
     rows = spread.select(
         "fp",
+        *TABLE,
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
@@ -157,8 +184,11 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
         def work(t: pa.Table) -> pa.RecordBatch:
             fp, group, side = (t.column(c).to_numpy() for c in ("fp", "group", "side"))
-            u, v = near_in(group, fp.view(np.uint64), side, distance)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            table = np.stack([t.column(c).to_numpy() for c in TABLE], axis=1).astype("<i8").view(np.int8)
+            u, v, seen, left = near_in(group, fp.view(np.uint64), side, table, distance)
+            none = [None] * len(u)
+            columns = [[*u.view(np.int64), None], [*v.view(np.int64), None], [*none, seen], [*none, left]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "seen", "left"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -176,26 +206,37 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long, seen long, left long")
+
+
+def links(found: DataFrame) -> DataFrame:
+    """(u, v): the edges of compared()."""
+    return found.where("u is not null").select("u", "v")
+
+
+def report(found: DataFrame) -> DataFrame:
+    """One row of compared(): pairs seen, pairs that the pivot table discarded, pairs verified."""
+    return found.agg(F.sum("seen").alias("seen"), F.sum(F.col("seen") - F.col("left")).alias("discarded"), F.sum("left").alias("verified"))
 
 
 def _grouped(docs: DataFrame, text: str, key: str, shingle: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, root, component_id) and the columns in keep, a row per row of docs; root is one fp of the component and tells components apart."""
     fps = written(fingerprints(docs, text, key, shingle, keep), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    found = components(written(links(nodes, distance), "simhash-links"), "simhash-stars")
-    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(placed.join(firsts, "root").select("fp", "root", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep)
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-nodes")
+    found = components(links(written(compared(nodes, distance), "simhash-links")), "simhash-stars")
+    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    placed = written(placed, "simhash-placed")
+    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    named = met(placed.drop("first_id"), firsts, "root", "members", nodes.count(), F.xxhash64("fp"))
+    return met(fps, written(named, "simhash-named"), "fp", "copies", fps.count(), F.xxhash64("doc_id")).select("doc_id", "fp", "root", "component_id", *keep)
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id), a row per row of docs.
 
     component_id is the smallest doc_id among all documents reachable over links of at most distance
-    differing bits, exact copies included. A null doc_id is never the smallest unless all are null.
-    Empty input gives no rows.
+    differing bits, exact copies included. A null doc_id (or one that is no whole number) is never the smallest
+    unless all are null. Null and wordless texts have fp 0 and are linked like any other. Empty input gives no rows.
     """
     return _grouped(docs, text, key, shingle, distance).select("doc_id", "fp", "component_id")
 
@@ -210,9 +251,11 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     def name(column: Column) -> Column:
         return F.coalesce(column.cast("string"), F.lit(""))
 
-    marked = docs.withColumn("__digest", F.sha2(plain_text(F.col(text)), 256))
-    found = _grouped(marked, text, key, shingle, distance, ("__digest",))
-    best = found.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("__digest").alias("__digest"))
-    best = best.select("__digest", name(F.col("doc_id")).alias("__key"))
-    kept = marked.withColumn("__key", name(F.col(key))).join(best, ["__digest", "__key"], "left_semi")
-    return kept.dropDuplicates(["__digest", "__key"]).drop("__digest", "__key")
+    d, k = fresh(docs, "digest", "key")
+    marked = docs.withColumn(d, F.sha2(plain_text(F.col(text)), 256))
+    slim = marked.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(d).alias("digest"))
+    found = _grouped(slim, "text", "doc_id", shingle, distance, ("digest",))
+    best = found.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("digest").alias("digest"))
+    best = best.select(F.col("digest").alias(d), name(F.col("doc_id")).alias(k))
+    kept = marked.withColumn(k, name(whole(key))).join(best, [d, k], "left_semi")
+    return kept.dropDuplicates([d, k]).drop(d, k)

@@ -6,11 +6,14 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sketchwright.llm import bpe, exact_dedup, fingerprint, license_scan, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = SCHEMA + ", part int, size int, key string, digest string, fp long"
+#: Columns with names that the operators use themselves.
+EXTRA = SCHEMA + ", part int, size int, key string, digest string, fp long, __key string, __digest string, __score double, __text string, score double, normal string"
+MORE = (1, 2, "k", "d", 3, "a", "b", 0.5, "c", 0.25, "n")
 
 
 def sha(x):
@@ -44,7 +47,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, 1, 2, "k", "d", 3) for r in rows], EXTRA).repartition(3).cache()
+    return spark.createDataFrame([(*r, *MORE) for r in rows], EXTRA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +85,7 @@ def test_substring_dedup_across_parts_and_pieces(docs, rows, monkeypatch):
     from sketchwright.llm import parts
 
     whole = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.removal(docs).collect())
-    monkeypatch.setattr(parts, "PART_ROWS", 5)
+    monkeypatch.setattr(parts, "PART_UNITS", 5)
     monkeypatch.setattr(substring_dedup, "AT_ONCE", 64)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.removal(docs).collect()) == whole
 
@@ -91,7 +94,7 @@ def test_substring_dedup_across_parts_and_pieces(docs, rows, monkeypatch):
 def test_suffix_dedup(docs, rows, none, monkeypatch, part_rows):
     from sketchwright.llm import parts
 
-    monkeypatch.setattr(parts, "PART_ROWS", part_rows)
+    monkeypatch.setattr(parts, "PART_UNITS", part_rows)
     if part_rows == 5:
         monkeypatch.setattr(suffix_dedup, "AT_ONCE", 700)  # long texts are hashed in overlapping pieces
     where = defaultdict(list)
@@ -202,7 +205,7 @@ def test_toxicity(spark, none):
         labels.append((i, 1, int(bad)))
     rows += [(1000, None, None, None, None), (1001, "", None, None, None), (None, "zorkling blegh", None, None, None), (1003, "w " * 5000 + "blegh. zorklers", None, None, None)]
     labels += [(None, 1, 1), (5, None, None)]
-    docs = spark.createDataFrame([(*r, 1, 2, "k", "d", 3) for r in rows], EXTRA)
+    docs = spark.createDataFrame([(*r, *MORE) for r in rows], EXTRA)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     found = {r.doc_id: r for r in toxicity.toxicity(docs, table).collect()}
     assert len(found) == len(rows)
@@ -261,7 +264,7 @@ def test_fingerprints(docs, rows, none):
 
 def test_fingerprints_in_many_ranges(docs, monkeypatch):
     whole = Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprint.fingerprints(docs).collect())
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 4)
+    monkeypatch.setattr(fingerprint, "RANGE_UNITS", 4)
     assert Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprint.fingerprints(docs).collect()) == whole
 
 
@@ -278,6 +281,11 @@ def test_exact_dedup(docs, rows, none):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found) == expected
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    # With digests that many texts share, whole texts tell them apart.
+    weak = {"digest": lambda normal: F.substring(normal, 1, 2)}
+    found = exact_dedup.groups(docs, **weak).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found) == expected
+    assert sorted(map(str, exact_dedup.keep_first(docs, **weak).collect())) == sorted(map(str, kept.collect()))
     assert exact_dedup.groups(none).count() == 0 and exact_dedup.keep_first(none).count() == 0
 
 
@@ -394,9 +402,23 @@ def test_simhash_links_with_chunks(spark, monkeypatch):
         return {frozenset(f for f in signed if root(f) == r) for r in {root(f) for f in signed}}
 
     brute = groups((a, b) for a in signed for b in signed if ((a ^ b) % 2**64).bit_count() <= 4)
-    assert groups((r.u, r.v) for r in simhash.links(nodes).collect()) == brute
+    assert groups((r.u, r.v) for r in simhash.links(simhash.compared(nodes)).collect()) == brute
     monkeypatch.setattr(simhash, "CHUNK", 7)
-    assert groups((r.u, r.v) for r in simhash.links(nodes).collect()) == brute
+    assert groups((r.u, r.v) for r in simhash.links(simhash.compared(nodes)).collect()) == brute
+
+
+def test_simhash_pivot_table(spark, monkeypatch):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(50)]
+    rows = simhash.pivot_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    for r in rows:
+        near = [x >> 8 * j & 255 for x in r[1:] for j in range(8)]
+        assert near == [((r.fp ^ p) % 2**64).bit_count() for p in simhash.pivots()]
+    # All blocks alike in one group of unrelated fingerprints: the table leaves next to nothing to verify.
+    monkeypatch.setattr(simhash, "_tables", lambda fp: [F.lit(1).cast("long")])
+    nodes = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(3000)], "fp long")
+    counts = simhash.report(simhash.compared(nodes)).collect()[0]
+    assert counts.seen > 10**6 and counts.verified < 100 and counts.seen == counts.discarded + counts.verified
 
 
 def test_license_scan(spark, docs, rows, none):
@@ -408,7 +430,7 @@ def test_license_scan(spark, docs, rows, none):
         (9005, "the license is not a license of this work and under the sun", None, None, None),
         (9006, "éMIT under the mit licenseé", None, None, None),
     ]
-    table = spark.createDataFrame([(*r, 1, 2, "k", "d", 3) for r in more], EXTRA).unionByName(docs)
+    table = spark.createDataFrame([(*r, *MORE) for r in more], EXTRA).unionByName(docs)
     every = [*more, *rows]
 
     def brute(t):
