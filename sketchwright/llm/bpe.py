@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import fresh, plain_text
 
 #: The public pre-split pattern of byte-level BPE, with Unicode's white space spelt out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: What SPLIT comes to on ASCII texts.
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Words kept in a worker's memory, and the longest one kept.
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+#: Words kept in a worker's memory, and the longest one kept; states of the transducer kept.
+CACHED_WORDS, CACHED_CHARS, KEPT_STATES = 400_000, 48, 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,13 +40,11 @@ class Automaton:
     depends on its label only. States and arcs are kept as derivations, each naming the moment it was
     made and what it was copied from (after w: a copy of after v; arc w: made where arc u stood); the
     transition table holds each entry once it has been derived. Of all ways to spell a prefix exactly
-    one is accepted, so reading a word left to right keeps one state for each position.
+    one is accepted.
     """
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.label = {i: t for t, i in tokens.items()}
-        self.token = tokens
-        self.longest = max(map(len, tokens))
         self.made: dict[int, int] = {i: -1 for i in self.label}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -90,37 +88,99 @@ class Automaton:
                 if cut.get((state, token), end + 1) == end:
                     return False
 
+
+class Transducer:
+    """Reads bytes, emits tokens: the automaton composed with the spelling of its tokens, made deterministic.
+
+    An open piece is a state of the automaton and a node of the trie of its tokens: what was read since that
+    state, and may yet become a token. A state of the transducer is the set of pieces open after a prefix, and a
+    transition on a byte moves each piece along the trie. Where a piece spells a token that its automaton
+    state has an arc for, that is the last token of the prefix: the transition's label. Such sets are numbered
+    and transitions tabled when they first occur; past KEPT_STATES the table starts anew. So a byte costs one
+    look-up, or at first sight a step for each open piece; and reading a word of any length is linear.
+    """
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.next_node: dict[int, int] = {}
+        self.spelt = [-1]
+        for token, name in automaton.label.items():
+            if token not in automaton.made:
+                continue
+            node = 0
+            for byte in name:
+                after = self.next_node.get(node << 8 | byte)
+                if after is None:
+                    after = self.next_node[node << 8 | byte] = len(self.spelt)
+                    self.spelt.append(-1)
+                node = after
+            self.spelt[node] = token
+        self.inner = {key >> 8 for key in self.next_node}
+        self.length = {token: len(name) for token, name in automaton.label.items()}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table: dict[int, tuple[int, int]] = {}
+        self.pieces: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.automaton.table.clear()
+        self._numbered((0,))  # nothing read: state 0, at the trie's root
+
+    def _numbered(self, pieces: tuple[int, ...]) -> int:
+        n = self.number.get(pieces)
+        if n is None:
+            n = self.number[pieces] = len(self.pieces)
+            self.pieces.append(pieces)
+        return n
+
+    def _transition(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the last token of the prefix read. A piece is (token + 1) << 32 | node."""
+        pieces, label = [], -1
+        arc = self.automaton.arc
+        for piece in self.pieces[state]:
+            node = self.next_node.get((piece & 0xFFFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            before, token = (piece >> 32) - 1, self.spelt[node]
+            if token >= 0 and label < 0 and (before < 0 or arc(before, token)):
+                label = token
+            if node in self.inner:
+                pieces.append(piece >> 32 << 32 | node)
+        if label >= 0:
+            pieces.append(label + 1 << 32)
+        if len(self.pieces) >= KEPT_STATES:
+            self._clear()
+            return self._numbered(tuple(pieces)), label  # not tabled: `state` has lost its number
+        found = self.table[state << 8 | byte] = self._numbered(tuple(pieces)), label
+        return found
+
     def encode(self, word: bytes) -> list[int]:
-        """The accepted path that spells word: for each position the last token of its prefix."""
-        n = len(word)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        token, made, arc, longest = self.token, self.made, self.arc, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = token.get(word[j:i])
-                if t is not None and t in made and (not j or arc(last[j], t)):
-                    last[i], start[i] = t, j
-                    break
-        out, i = [], n
+        """The accepted path that spells word, from the labels of its prefixes."""
+        state, labels = 0, []
+        for byte in word:
+            found = self.table.get(state << 8 | byte)
+            state, label = found or self._transition(state, byte)
+            labels.append(label)
+        out, i, length = [], len(word), self.length
         while i:
-            out.append(last[i])
-            i = start[i]
+            token = labels[i - 1]
+            out.append(token)
+            i -= length[token]
         return out[::-1]
 
 
 class _Words(dict):
     """The ids of words seen, encoded when first asked for; emptied when full, so its size is bounded."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.automaton = automaton
+        self.transducer = transducer
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.automaton.encode(word.encode("utf-8")))
+        ids = tuple(self.transducer.encode(word.encode("utf-8")))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-                self.automaton.table.clear()
             self[word] = ids
         return ids
 
@@ -147,7 +207,7 @@ class Codec:
         self.split, self.ascii_split = regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT).findall
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
-        self.known = _Words(self.automaton)
+        self.known = _Words(Transducer(self.automaton))
 
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
@@ -187,10 +247,12 @@ def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     """The columns `keep`, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int>; a row per row of docs.
 
     path: a byte-level BPE file on the driver; its content (a fixed file of a few MB) is broadcast.
-    Null text counts as empty: no ids. Each text is encoded whole, and decoded again from its ids.
+    Null text counts as empty: no ids. Each text is encoded whole, and decoded again from its ids. Repeated
+    rows stay rows, empty docs give none; columns outside `keep` are not read.
     """
+    (held_text,) = fresh(docs, "text")
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    slim = docs.select(*keep, plain_text(F.col(text)).alias("__text"))
+    slim = docs.select(*keep, plain_text(F.col(text)).alias(held_text))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     fields = (kept + ", " if keep else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

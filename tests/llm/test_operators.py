@@ -191,6 +191,23 @@ def test_bpe_on_odd_strings():
         assert codec.decode(ids) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_transducer_over_many_states(monkeypatch):
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference, codec = Tokenizer.from_file(path), bpe.Codec(bpe.vocabulary(path))
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    began = time.time()
+    found = codec.encode(long)
+    assert time.time() - began < 5 and found == reference.encode(long, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "KEPT_STATES", 50)  # the table starts anew in the middle of words
+    assert bpe.Codec(bpe.vocabulary(path)).encode(long[:3000]) == reference.encode(long[:3000], add_special_tokens=False).ids
+
+
 def test_toxicity(spark, none):
     rng = random.Random(1)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(200)]
