@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import fresh, plain_text, written
 
-#: At most so many labelled rows are used to learn (those of the smallest hashes), and so many patterns are kept.
-TRAIN_ROWS, PATTERNS = 20_000, 20_000
+#: At most so many labelled rows are used to learn: those of the smallest hashes.
+TRAIN_ROWS = 20_000
 #: Lengths of the prefixes that insult patterns may be, besides whole words.
 PREFIXES = range(4, 10)
 
@@ -28,31 +29,115 @@ ENDS = ".!?;:\n"
 #: Factors of the grammar's arcs.
 AIMED, NEGATED, REPORTED = 1.25, 0.5, 0.75
 
-#: The grammar's alphabet: word classes, made by the lexicon's transducer.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+#: The alphabet of the grammar's transducers: word classes, made by the lexicon. The target transducer turns THREAT to AIMED_THREAT.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED_THREAT = CLASSES = range(7)
+END = -1
+EVIDENCE = (INSULT, THREAT, AIMED_THREAT)
 
 _tokens = re.compile(rf"[^\W\d_]+|[{re.escape(ENDS)}]").findall
 
 
-def _grammar() -> dict[tuple[int, int, int, int], tuple[int, int, int]]:
-    """The composition of the context transducers: (since negation, reported, aimed) and a class to the next state.
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer over word classes; state 0 is the start.
 
-    Negation reaches three words on, report and target hold to the end of the clause.
+    arcs: (state, class read) to a list of (class written, factor, next state). A path through a clause scores
+    the sum of its words' weights, each times the factor of the arc that read it, times the factor of the final
+    state; a clause scores its best path.
     """
-    arcs = {}
-    for near in range(4):
-        for reported in (0, 1):
-            for aimed in (0, 1):
-                for kind in (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT):
-                    arcs[near, reported, aimed, kind] = (
-                        3 if kind == NEGATION else max(0, near - 1),
-                        1 if kind == REPORT else reported,
-                        1 if kind == TARGET else aimed,
-                    )
-    return arcs
 
+    arcs: dict[tuple[int, int], list[tuple[int, float, int]]]
+    final: dict[int, float]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what self writes, other reads; factors multiply. States are those reachable."""
+        number, arcs, final = {(0, 0): 0}, {}, {}
+        open_ = [(0, 0)]
+        while open_:
+            p, q = pair = open_.pop()
+            if p in self.final and q in other.final:
+                final[number[pair]] = self.final[p] * other.final[q]
+            for read in CLASSES:
+                found = []
+                for middle, f, p2 in self.arcs.get((p, read), ()):
+                    for wrote, g, q2 in other.arcs.get((q, middle), ()):
+                        if (p2, q2) not in number:
+                            number[p2, q2] = len(number)
+                            open_.append((p2, q2))
+                        found.append((wrote, f * g, number[p2, q2]))
+                if found:
+                    arcs[number[pair], read] = found
+        return Transducer(arcs, final)
+
+    def best(self, read: list[tuple[int, float]]) -> float:
+        """The score of a clause, given as (class, weight) of its words; 0 without a path."""
+        alive, arcs = {0: 0.0}, self.arcs
+        for kind, weight in read:
+            following: dict[int, float] = {}
+            for state, score in alive.items():
+                for _, factor, to in arcs.get((state, kind), ()):
+                    value = score + weight * factor
+                    if value > following.get(to, -1.0):
+                        following[to] = value
+            alive = following
+        return max((score * self.final[s] for s, score in alive.items() if s in self.final), default=0.0)
+
+
+def target_transducer() -> Transducer:
+    """Whether a clause is aimed at somebody, wherever in it the target stands: a path guesses at the start and must turn out right.
+
+    States: 0 start, 1 no target, 2 target still to come, 3 target seen. In an aimed clause evidence weighs more, and threats are marked.
+    """
+    arcs: dict[tuple[int, int], list[tuple[int, float, int]]] = {}
+
+    def aimed(kind: int) -> tuple[int, float]:
+        return AIMED_THREAT if kind == THREAT else kind, AIMED if kind in EVIDENCE else 1.0
+
+    for kind in CLASSES:
+        for state in range(4):
+            if kind == TARGET:
+                to = [(kind, 1.0, 3)] if state != 1 else []
+            else:
+                to = [(kind, 1.0, 1)] if state < 2 else []
+                to += [(*aimed(kind), 3 if state == 3 else 2)] if state != 1 else []
+            arcs[state, kind] = to
+    return Transducer(arcs, {0: 1.0, 1: 1.0, 3: 1.0})
+
+
+def insult_transducer() -> Transducer:
+    """Insults count; words of no class don't."""
+    return Transducer({(0, k): [(k, 0.0 if k == OTHER else 1.0, 0)] for k in CLASSES}, {0: 1.0})
+
+
+def threat_transducer() -> Transducer:
+    """A threat counts when aimed."""
+    return Transducer({(0, k): [(k, 0.0 if k == THREAT else 1.0, 0)] for k in CLASSES}, {0: 1.0})
+
+
+def negation_transducer() -> Transducer:
+    """Evidence weighs less within three words after a negation. The state is how many of them are still to come."""
+    arcs = {(n, k): [(k, NEGATED if n and k in EVIDENCE else 1.0, 3 if k == NEGATION else max(0, n - 1))] for n in range(4) for k in CLASSES}
+    return Transducer(arcs, dict.fromkeys(range(4), 1.0))
 
-GRAMMAR = _grammar()
+
+def report_transducer() -> Transducer:
+    """Evidence weighs less after a verb of speech, up to the end of the clause."""
+    arcs = {(n, k): [(k, REPORTED if n and k in EVIDENCE else 1.0, 1 if k == REPORT else n)] for n in range(2) for k in CLASSES}
+    return Transducer(arcs, {0: 1.0, 1: 1.0})
+
+
+def parts() -> list[Transducer]:
+    return [target_transducer(), insult_transducer(), threat_transducer(), negation_transducer(), report_transducer()]
+
+
+def grammar() -> Transducer:
+    first, *others = parts()
+    for other in others:
+        first = first.then(other)
+    return first
+
+
+GRAMMAR = grammar()
 
 
 class Lexicon(dict):
@@ -78,24 +163,20 @@ class Lexicon(dict):
 
 
 def clause_scores(text: str, lexicon: Lexicon) -> list[float]:
-    """The scores of the clauses in which a pattern matched: the sum of the matched arcs' weights in their context."""
+    """The scores of the clauses that the grammar matches; a clause without a weighted word scores nothing and is not run."""
     read = list(map(lexicon.__getitem__, _tokens(text.lower())))
     if not any(w for _, w in read):
         return []
-    scores, arcs = [], []
-    state = (0, 0, 0)
+    scores, clause, weighted = [], [], False
     for kind, weight in [*read, (END, 0.0)]:
         if kind == END:
-            if arcs:
-                # The target may follow the insult, so the clause's last state says whether it is aimed.
-                scores.append(sum(arcs) * (AIMED if state[2] else 1.0))
-            state, arcs = (0, 0, 0), []
-            continue
-        if kind == INSULT:
-            arcs.append(weight * (NEGATED if state[0] else 1.0) * (REPORTED if state[1] else 1.0))
-        elif kind == THREAT and state[2]:  # a threat counts when aimed
-            arcs.append(weight * (NEGATED if state[0] else 1.0) * (REPORTED if state[1] else 1.0))
-        state = GRAMMAR[(*state, kind)]
+            score = GRAMMAR.best(clause) if weighted else 0.0
+            if score > 0:
+                scores.append(score)
+            clause, weighted = [], False
+        else:
+            clause.append((kind, weight))
+            weighted = weighted or weight > 0
     return scores
 
 
@@ -139,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     Pattern weights are log odds of documents with against without the label; the three features of a
     text are weighed by a logistic regression. Only the sample's ids, the patterns' counts with enough
-    support (at most PATTERNS rows) and three numbers a sample row come to the driver.
+    support and three numbers a sample row come to the driver; all are bounded by the sample. Of rows
+    that repeat an id one stands for it (the one whose text sorts first); ids without a document teach nothing.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
@@ -149,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return Model({}, [-7.0, 0.0, 0.0, 0.0])
     ids = spark.createDataFrame(list(sample.items()), "__id long, __toxic int")
     rows = docs.select(F.col(key).alias("__key"), plain_text(F.col(text)).alias("__text"))
-    rows = rows.join(F.broadcast(ids), rows["__key"] == ids["__id"]).select("__text", "__toxic")
+    rows = rows.join(F.broadcast(ids), rows["__key"] == ids["__id"])  # at most TRAIN_ROWS rows
+    rows = rows.groupBy("__key").agg(F.min("__text").alias("__text"), F.max("__toxic").alias("__toxic")).select("__text", "__toxic")
+    rows = written(rows, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -164,8 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for b in batches:
             for t, y in zip(b.column(0), b.column(1)):
                 words = set(_tokens(t.as_py().lower()))
-                # Whole words of up to 24 letters; beyond that only their prefixes.
-                found = {w for w in words if len(w) <= 24}
+                found = set(words)
                 found.update(w[:n] + "*" for w in words for n in PREFIXES if n < len(w))
                 seen[y.as_py()].update(found)
                 seen[y.as_py()][""] += 1
@@ -177,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     all_pos = sum(sample.values())
     support = max(3, -(-all_pos // 100))
     odds = (F.log((F.col("pos") + 0.5) / (all_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (len(sample) - all_pos + 1.0))).alias("odds")
-    kept = counted.where((F.col("pattern") != "") & (F.col("pos") >= support)).select("pattern", odds).where("odds > 2.5").orderBy(F.desc("odds"), "pattern").limit(PATTERNS)
+    kept = counted.where((F.col("pattern") != "") & (F.col("pos") >= support)).select("pattern", odds).where("odds > 2.5")
     patterns = {r["pattern"]: float(r["odds"]) for r in kept.collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,33 +273,33 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Model(patterns, _fit(points[:, :3], points[:, 3]))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with __score double; null texts score as empty ones. Every clause of the whole text is read."""
-    schema = docs.select("*", F.lit(0.0).alias("__score")).schema
+def scored(docs: DataFrame, model: Model, score: str, text: str = "text") -> DataFrame:
+    """docs with a new column `score` double; null texts score as empty ones. Every clause of the whole text is read."""
+    schema = docs.select("*", F.lit(0.0).alias(score)).schema
     source = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.patterns)
         for b in batches:
             scores = [model.score(features(t.as_py() or "", lexicon)) for t in b.column(source)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, score])
 
     return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row per row of docs.
+    """(doc_id, held_out, score, predicted), a row per row of docs, repeated rows included.
 
     Labels only teach; language, source and id are never inputs of a score. A null id counts as held
     out like its crc32 of the empty text (0). Empty docs give no rows; without usable labels all scores are low.
     """
     model = train(docs, labels, text, key)
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    found = scored(slim, model, "__text")
-    return found.select("doc_id", (crc % 5 == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    found = scored(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), model, "score", "text")
+    return found.select("doc_id", (crc % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs, all their columns, whose text scores under 0.5."""
-    return scored(docs, train(docs, labels, text, key), text).where("__score < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return scored(docs, train(docs, labels, text, key), score, text).where(F.col(score) < 0.5).drop(score)

@@ -242,11 +242,34 @@ def test_toxicity_reads_clauses():
     lexicon = toxicity.Lexicon({"moron": 4.0})
     plain = toxicity.clause_scores("he moron.", lexicon)
     assert plain[0] > toxicity.clause_scores("a moron.", lexicon)[0]
+    assert toxicity.clause_scores("moron he.", lexicon) == plain  # the target may follow
     assert toxicity.clause_scores("a not moron.", lexicon)[0] < toxicity.clause_scores("a moron.", lexicon)[0]
     assert toxicity.clause_scores("text said moron.", lexicon)[0] < toxicity.clause_scores("text with moron.", lexicon)[0]
+    assert toxicity.clause_scores("kill you.", lexicon) and not toxicity.clause_scores("kill it.", lexicon)
     assert toxicity.clause_scores("no match here.", lexicon) == []
 
 
+def test_toxicity_grammar_is_its_parts_one_after_the_other():
+    def paths(machine, read):
+        """All paths: the classes written, the factors, the final factor."""
+        found = [([], [], 0)]
+        for kind in read:
+            found = [([*out, wrote], [*factors, f], to) for out, factors, state in found for wrote, f, to in machine.arcs.get((state, kind), ())]
+        return [(out, factors, machine.final[s]) for out, factors, s in found if s in machine.final]
+
+    def brute(read, weights):
+        chains = [(read, [1.0] * len(read), 1.0)]
+        for machine in toxicity.parts():
+            chains = [(out, [x * y for x, y in zip(before, factors)], last * final) for wrote, before, last in chains for out, factors, final in paths(machine, wrote)]
+        return max((last * sum(w * f for w, f in zip(weights, factors)) for _, factors, last in chains), default=0.0)
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        read = [rng.choice(list(toxicity.CLASSES)[:6]) for _ in range(rng.randint(0, 8))]
+        weights = [rng.random() for _ in read]
+        assert toxicity.GRAMMAR.best(list(zip(read, weights))) == pytest.approx(brute(read, weights))
+
+
 def test_fingerprints(docs, rows, none):
     found = fingerprint.fingerprints(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
