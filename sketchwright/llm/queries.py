@@ -60,7 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir))
+    return license_scan.scan(documents(spark, sf_dir)).drop("blocks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
