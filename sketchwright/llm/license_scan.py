@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import plain_text, written
 
 #: Share of a template's distinct words that a block must hold; a template of up to SHORT distinct words must be held whole,
 #: or a notice of one license would pass for another's that differs in its name only.
@@ -120,14 +120,9 @@ def base_columns(s: str, phrases: list[tuple[str, str]]) -> list[Column]:
     ]
 
 
-def template_order(docs: DataFrame, s: Column, templates: list[tuple[str, str]]) -> list[str]:
-    """The templates' words, rarest first by the number of documents that hold them, ties by the word.
-
-    Counted over all documents; the result has a row per template word.
-    """
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(s, " "))
-    counts = {r["word"]: r["count"] for r in docs.select(F.explode(held).alias("word")).groupBy("word").count().collect()}
+def template_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The templates' words, rarest first by the number of rows that hold them (in `held`), ties by the word; the counts have a row per template word."""
+    counts = {r["word"]: r["count"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -145,7 +140,9 @@ def step_for(template: str) -> int:
 
 
 def _words(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    """An array literal, as one expression: a call for each word would take seconds for whole license texts."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({quoted})") if words else F.array().cast("array<string>")
 
 
 def _share(template: Column, block: Column) -> Column:
@@ -170,10 +167,14 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: list
     a fixed list, so a row is joined with all of them where it is: nothing is shuffled or exploded. Filters
     only skip what can't reach the threshold, so no block is missed. score is 1 for a base phrase, else the
     largest share found (0 below the threshold). Null text counts as empty; repeated rows stay rows; empty
-    docs give no rows; other columns are not read.
+    docs give no rows; other columns are not read. The words of each text, and which of the templates' they are,
+    are found once and written: the frequencies come from this table, and the scan reads it again.
     """
-    s = spaced(plain_text(F.col(text)))
-    order = template_order(docs, s, templates)
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    rows = docs.select(F.col(key).alias("doc_id"), spaced(plain_text(F.col(text))).alias("s"))
+    rows = rows.withColumn("held", F.array_intersect(_words(vocabulary), F.split("s", " ")))
+    rows = written(rows, "license-words")
+    order = template_order(rows, vocabulary)
     place = {w: i for i, w in enumerate(order)}
     by_step: dict[int, list[Column]] = {}
     prefixes, least = set(), len(order)
@@ -186,10 +187,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: list
         one = F.struct(F.lit(label).alias("label"), _words(words).alias("words"), _words(prefix).alias("prefix"), F.lit(need).alias("need"))
         by_step.setdefault(step_for(template), []).append(one)
 
-    rows = docs.select(F.col(key).alias("doc_id"), s.alias("s"))
-    rows = rows.select("doc_id", *base_columns("s", phrases), F.split(F.trim("s"), " ").alias("words"))
-    rows = rows.withColumn("held", F.array_intersect(_words(order), F.col("words")))  # the template words of the text, rarest first
     likely = (F.size("held") >= least) & F.arrays_overlap("held", _words(sorted(prefixes)))
+    rows = rows.select("doc_id", *base_columns("s", phrases), F.when(likely, F.split(F.trim("s"), " ")).alias("words"), F.when(likely, F.array_intersect(_words(order), "held")).alias("held"))
 
     def found(step: int, some: list[Column]) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(step))
@@ -204,7 +203,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: list
 
     kind = "array<struct<label: string, start: bigint, share: double>>"
     blocks = F.concat(*[found(step, some).cast(kind) for step, some in sorted(by_step.items())]) if by_step else F.array().cast(kind)
-    rows = rows.withColumn("blocks", F.when(likely, blocks).otherwise(F.array().cast(kind)))
+    rows = rows.withColumn("blocks", F.when(F.col("words").isNotNull(), blocks).otherwise(F.array().cast(kind)))
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     return rows.select(
         "doc_id",
