@@ -49,7 +49,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         p = np.full(length, b, np.uint64)
@@ -72,6 +72,18 @@ class Polynomial:
         return mixed((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
-#: A random value for each byte, and two odd bases.
-BYTE_VALUES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+#: Random values for each byte, and odd bases for bytes and words, of two independent hashes.
+BYTE_VALUES, OTHER_VALUES = np.random.default_rng(11).integers(0, 2**64, (2, 256), dtype=np.uint64)
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+OTHER_BYTE_BASE, OTHER_WORD_BASE = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
+
+
+def is_pair_in(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether each (a, b) is a row of pairs."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    low, high = np.searchsorted(pairs[:, 0], a, "left"), np.searchsorted(pairs[:, 0], a, "right")
+    found = np.zeros(len(a), bool)
+    for k in range(int((high - low).max(initial=0))):  # one step, unless first numbers collide
+        at = np.flatnonzero(low + k < high)
+        found[at] |= pairs[low[at] + k, 1] == b[at]
+    return found

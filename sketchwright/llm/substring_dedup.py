@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .parts import BYTE_BASE, BYTE_VALUES, WORD_BASE, Polynomial, buckets_for, dealt, in_order
+from .parts import BYTE_BASE, BYTE_VALUES, OTHER_BYTE_BASE, OTHER_VALUES, OTHER_WORD_BASE, WORD_BASE, Polynomial, buckets_for, dealt, in_order, is_pair_in
 
 #: Words of a window.
 WINDOW = 20
@@ -39,79 +39,116 @@ def _pieces(texts: list[bytes]) -> Iterator[bytes]:
         yield b" ".join([*held, b""])
 
 
-def word_hashes(texts: list[bytes]) -> np.ndarray:
-    """A hash for each word of the texts, one text after the other."""
-    found = []
+#: What makes the two hashes of a window: values of bytes, base of bytes, base of words.
+HASHES = [(BYTE_VALUES, BYTE_BASE, WORD_BASE), (OTHER_VALUES, OTHER_BYTE_BASE, OTHER_WORD_BASE)]
+
+
+def word_hashes(texts: list[bytes], count: int) -> list[np.ndarray]:
+    """The first `count` hashes of each word of the texts, one text after the other."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(count)]
     for piece in _pieces(texts):
         data = np.frombuffer(piece, np.uint8)
         inside = np.concatenate([[False], ~_SPACE[data], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        found.append(Polynomial(BYTE_VALUES[data], BYTE_BASE).slices(edges[::2], edges[1::2]))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        for out, (values, base, _) in zip(found, HASHES):
+            out.append(Polynomial(values[data], base).slices(edges[::2], edges[1::2]))
+    return [np.concatenate(out) for out in found]
 
 
-def windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of `window` words within a text, the words they start at, and the words' bounds by text."""
+def windows(texts: list[bytes], window: int, count: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The first `count` hashes of all windows of `window` words within a text, the words they start at, and the words' bounds by text."""
     bounds = np.concatenate([[0], np.cumsum([len(t.split()) for t in texts], dtype=np.int64)]) if texts else np.zeros(1, np.int64)
-    hashes = word_hashes(texts)
-    room = np.ones(len(hashes) + 1, bool)
+    hashes = word_hashes(texts, count)
+    room = np.ones(bounds[-1] + 1, bool)
     for k in np.flatnonzero(np.diff(bounds) > 0):
         room[max(bounds[k], bounds[k + 1] - window + 1) : bounds[k + 1]] = False
     starts = np.flatnonzero(room[:-1])
-    return Polynomial(hashes, WORD_BASE).slices(starts, starts + window), starts, bounds
+    return [Polynomial(h, base).slices(starts, starts + window) for h, (_, _, base) in zip(hashes, HASHES)], starts, bounds
 
 
 def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, spans array<struct<start, end>> of removed words, kept string.
 
     A word goes if a window over it has a word sequence that also starts earlier, in a smaller id or
-    before it in the same document. Null text has no words; null ids come after all others; rows of
+    before it in the same document. Null text has no words; null ids (and ids that are no whole numbers) come after all others; rows of
     one id stand in the order of their texts, and the later ones repeat the earlier ones. Empty input
     gives no rows.
 
-    Ids are cut into parts. A part sends each distinct window hash once, dealt by ranges of the hash;
-    a range finds which of them an earlier part has too, and answers with a bit each. So a passage in
-    any number of documents costs a reducer one hash a part, never its documents.
+    Ids are cut into parts. A part sends each distinct window hash once, dealt by ranges of the hash; a range
+    answers with a bit each: another part has it too. For those windows the part sends both hashes, 128 bits,
+    and the range answers which pairs an earlier part has. So a passage in any number of documents costs a
+    reducer one pair a part, never its documents, and windows are alike if 128 bits of two independent hashes are.
     """
     rows, parts = dealt(docs, text, key)
     buckets = buckets_for(parts)
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
+    def by_bucket(ranked: np.ndarray) -> np.ndarray:
+        return np.searchsorted(ranked >> shift, np.arange(buckets + 1, dtype=np.uint64))
+
+    def sent(table: pa.Table, full: np.ndarray, blobs: list[bytes]) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()), "hashes": pa.array(blobs, pa.binary())})
+
     def send(table: pa.Table) -> pa.Table:
         _, texts = in_order(table)
-        distinct = np.unique(windows(texts, window)[0])
-        ends = np.searchsorted(distinct >> shift, np.arange(buckets + 1, dtype=np.uint64))
+        distinct = np.unique(windows(texts, window, 1)[0][0])
+        ends = by_bucket(distinct)
         full = np.flatnonzero(np.diff(ends))
-        blobs = [distinct[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in full]
-        part = table.column("part")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()), "hashes": pa.array(blobs, pa.binary())})
+        return sent(table, full, [distinct[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in full])
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("part")
+        table = table.combine_chunks()
         blobs = table.column("hashes").to_pylist()
         hashes = np.frombuffer(b"".join(blobs), "<u8")
-        order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of their parts
-        again = np.zeros(len(hashes), bool)
-        ranked = hashes[order]
-        again[order[1:]] = ranked[1:] == ranked[:-1]
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        shared = np.zeros(len(hashes), bool)
+        shared[order[1:]] |= same
+        shared[order[:-1]] |= same
         ends = np.cumsum([len(b) // 8 for b in blobs])
-        masks = [np.packbits(m).tobytes() for m in np.split(again, ends[:-1])]
-        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "again": pa.array(masks, pa.binary())})
+        masks = [np.packbits(m).tobytes() for m in np.split(shared, ends[:-1])]
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "shared": pa.array(masks, pa.binary())})
+
+    def confirm(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary())})
+        _, texts = in_order(table)
+        (first, second), _, _ = windows(texts, window, 2)
+        distinct, place = np.unique(first, return_inverse=True)
+        ends = by_bucket(distinct)
+        shared = np.zeros(len(distinct), bool)
+        for bucket, mask in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()):
+            a, b = ends[bucket], ends[bucket + 1]
+            shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
+        pick = shared[place]
+        pairs = np.stack([first[pick], second[pick]], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)]]
+        ends = by_bucket(pairs[:, 0])
+        full = np.flatnonzero(np.diff(ends))
+        return sent(table, full, [pairs[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in full])
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("part")
+        blobs = table.column("hashes").to_pylist()
+        pairs = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, 2)
+        order = np.lexsort((np.arange(len(pairs)), pairs[:, 1], pairs[:, 0]))  # equal pairs stay in the order of their parts
+        again = np.zeros(len(pairs), bool)
+        again[order[1:]] = (pairs[order][1:] == pairs[order][:-1]).all(axis=1)
+        ends = np.cumsum([len(b) // 16 for b in blobs])
+        kept = [p[m].tobytes() for p, m in zip(np.split(pairs, ends[:-1]), np.split(again, ends[:-1]))]
+        return pa.table({"part": table.column("part"), "again": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept]))
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.string())})
         ids, texts = in_order(table)
-        hashes, starts, bounds = windows(texts, window)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        gone = np.ones(len(hashes), bool)
-        if len(distinct):
-            ends = np.searchsorted(distinct >> shift, np.arange(buckets + 1, dtype=np.uint64))
-            again = np.zeros(len(distinct), bool)
-            for bucket, mask in zip(answers.column("bucket").to_pylist(), answers.column("again").to_pylist()):
-                a, b = ends[bucket], ends[bucket + 1]
-                again[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
-            gone[first] = again
+        (first, second), starts, bounds = windows(texts, window, 2)
+        order = np.lexsort((np.arange(len(first)), second, first))
+        gone = np.zeros(len(first), bool)  # within the part, all but the first of equal windows
+        gone[order[1:]] = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+        gone |= is_pair_in(first, second, np.frombuffer(b"".join(answers.column("again").to_pylist()), "<u8").reshape(-1, 2))
         change = np.zeros(bounds[-1] + 1, np.int64)
         np.add.at(change, starts[gone], 1)
         np.add.at(change, starts[gone] + window, -1)
@@ -132,8 +169,10 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
             kept.append(b" ".join(words).decode("utf-8", "replace"))
         return pa.table({"doc_id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.string())})
 
-    sent = rows.groupBy("part").applyInArrow(send, "bucket int, part int, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(compare, "part int, bucket int, again binary")
+    hashes = "bucket int, part int, hashes binary"
+    shared = rows.groupBy("part").applyInArrow(send, hashes).groupBy("bucket").applyInArrow(compare, "part int, bucket int, shared binary")
+    pairs = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(confirm, hashes)
+    answers = pairs.groupBy("bucket").applyInArrow(settle, "part int, again binary")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, schema)
 

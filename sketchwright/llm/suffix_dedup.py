@@ -7,21 +7,25 @@ windows that name a position start in one run of offsets before it. So it is eno
 suffixes at named positions, about one in REACH / 2, and of these only the ones whose CORE bytes
 occur again anywhere, which a count of hashes tells first.
 
-How they are sorted: a part sorts its suffixes for each bucket of core hashes and sends them as a
-front-coded run, each as the length of the prefix it shares with the one before and the rest. A bucket
-merges its runs with a loser tree whose nodes remember how long a prefix the loser shares with the
-last output: two candidates are told apart by these lengths alone unless they are equal, and then
-compared from that length on. In the merged order, suffixes that share CORE bytes stand together;
-the windows of such neighbours that reach to the left of the suffix as well are settled there by
-hashes of their 200 bytes.
+How they are sorted: the order of all suffixes is cut into ranges at splitters taken from a sample of them. A
+part sorts its suffixes and sends each range a front-coded run: each suffix as the length of the prefix it
+shares with the one before and the rest. A range merges its runs with a loser tree whose nodes remember how
+long a prefix the loser shares with the last output: two candidates are told apart by these lengths alone
+unless they are equal, and then compared from that length on. Neighbours in the merged order that share CORE
+bytes or more are repeats of a named position, and their common-prefix lengths say where such a group begins
+and ends. Splitters are compared by CORE bytes, so no group is cut. Which windows over the position are
+repeated, those that reach to its left included, is settled within its group by comparing their bytes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import written
 from .parts import BYTE_BASE, BYTE_VALUES, Polynomial, buckets_for, dealt, in_order, mixed
 
 #: Bytes of a window; bytes of the strings whose hashes are compared; positions of a window that may be named.
@@ -30,6 +34,8 @@ WINDOW, GRAM, REACH = 200, 32, 120
 CORE = WINDOW - REACH + 1
 #: Bytes hashed at once; positions within fit 22 bits.
 AT_ONCE = 1 << 21
+#: Ranges of the suffix order at most, so that their splitters (CORE bytes each) are 11 MB at most; and samples for each of them.
+MOST_RANGES, SAMPLES = 1 << 17, 16
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -177,6 +183,42 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
     return order, shared
 
 
+def _repeated(data: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which windows of data have an equal among the others: the keys bring likely ones together, the bytes decide."""
+    repeated = np.zeros(len(key), bool)
+    if len(key) < 2:
+        return repeated
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    alike = np.flatnonzero(ranked[1:] == ranked[:-1])
+    rows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+    for k in range(0, len(alike), 65_536):
+        at = alike[k : k + 65_536]
+        equal = (rows[start[order[at]]] == rows[start[order[at + 1]]]).all(axis=1)
+        repeated[order[at[equal]]] = repeated[order[at[equal] + 1]] = True
+        for value in np.unique(ranked[at[~equal]]):  # one key for different bytes: compare all that have it
+            by_bytes: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(key == value):
+                by_bytes.setdefault(rows[start[i]].tobytes(), []).append(i)
+            for members in by_bytes.values():
+                repeated[members] |= len(members) > 1
+    return repeated
+
+
+def _contexts(buffer: bytes, names: tuple[np.ndarray, ...], wanted: np.ndarray) -> dict[tuple[bytes, bytes, int], list[int]]:
+    """The distinct contexts of the named positions whose core hash is wanted, and where each starts, ascending.
+
+    A context is what the windows that name a position cover: the bytes from it on (the suffix, as far as windows reach),
+    the bytes before it, and the offset of the last window's start to the position (at most 0 minus the least offset).
+    """
+    p, lo, hi, core = names
+    pick = np.flatnonzero(np.isin(core, wanted))
+    found: dict[tuple[bytes, bytes, int], list[int]] = {}
+    for x, a, z in zip(p[pick].tolist(), lo[pick].tolist(), hi[pick].tolist()):
+        found.setdefault((buffer[x : z + WINDOW], buffer[a:x], x - z), []).append(a)
+    return found
+
+
 def _settle(texts: list[bytes], marks: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray, group: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context (text; position of the name in it; least and largest offset of its windows) the ranges that repeated windows cover.
 
@@ -191,13 +233,7 @@ def _settle(texts: list[bytes], marks: np.ndarray, low: np.ndarray, high: np.nda
     start = begin[owner] + marks[owner] - high[owner] + step
     offset = (high[owner] - step).astype(np.uint64)
     key = mixed(prefix.slices(start, start + WINDOW) ^ mixed(group[owner].astype(np.uint64) * np.uint64(512) + offset))
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = ranked[1:] == ranked[:-1]
-    repeated = np.zeros(len(key), bool)
-    repeated[order[1:]] |= same
-    repeated[order[:-1]] |= same
-    repeated |= many[owner]
+    repeated = _repeated(np.frombuffer(b"".join(texts), np.uint8), start, key) | many[owner]
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     hit = np.flatnonzero(repeated)
     if len(hit):
@@ -214,22 +250,27 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """A row per row of docs: doc_id, n_bytes, n_removed, spans array<struct<start, end>> of removed bytes, kept binary.
 
     A byte goes if a 200-byte string over it also starts anywhere else, in the same document too. Null
-    text is empty; texts under 200 bytes lose nothing; of repeated rows all lose what they share. Empty
-    input gives no rows.
+    text is empty; texts under 200 bytes lose nothing; of repeated rows all lose what they share. Ids that are
+    no whole numbers count as null and stand last. Empty input gives no rows.
 
     Texts are exchanged once, dealt by ranges of the id. A part then sends hashes of its named cores;
     the answers say which occur again; for those it sends front-coded runs; the answers are the byte
-    ranges to remove. A part sends equal contexts once, so a passage in any number of documents costs a
-    bucket a few strings a part.
+    ranges to remove. A part sends equal contexts once, with their number, and applies the answer to all
+    places it has them in; so a passage in any number of documents costs a range a few strings a part.
     """
     rows, parts = dealt(docs, text, key)
     buckets = buckets_for(parts)
     mask = np.uint64(buckets - 1)
+    ranges_wanted = min(buckets, MOST_RANGES)
+    sampled = max(1, SAMPLES * ranges_wanted // parts)
 
     def send_cores(table: pa.Table) -> pa.Table:
+        """Hashes of the named cores by hash range; in bucket -1 the bytes of those with the smallest hashes, a sample."""
         _, texts = in_order(table)
-        core = named(b"".join(texts), [len(t) for t in texts])[3]
-        distinct, counts = np.unique(core, return_counts=True)
+        buffer = b"".join(texts)
+        position, _, _, core = named(buffer, [len(t) for t in texts])
+        distinct, first, counts = np.unique(core, return_index=True, return_counts=True)
+        sample = [buffer[x : x + CORE] for x in position[first[:sampled]].tolist()]
         part = table.column("part")[0].as_py()
         bucket = (distinct & mask).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -238,10 +279,10 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         picks = [order[ends[k] : ends[k + 1]] for k in full]
         return pa.table(
             {
-                "bucket": pa.array(full, pa.int32()),
-                "part": pa.array([part] * len(full), pa.int32()),
-                "cores": pa.array([distinct[i].astype("<u8").tobytes() for i in picks], pa.binary()),
-                "many": pa.array([np.packbits(counts[i] > 1).tobytes() for i in picks], pa.binary()),
+                "bucket": pa.array([*full.tolist(), *[-1] * len(sample)], pa.int32()),
+                "part": pa.array([part] * (len(full) + len(sample)), pa.int32()),
+                "cores": pa.array([*(distinct[i].astype("<u8").tobytes() for i in picks), *sample], pa.binary()),
+                "many": pa.array([*(np.packbits(counts[i] > 1).tobytes() for i in picks), *[b""] * len(sample)], pa.binary()),
             }
         )
 
@@ -257,22 +298,19 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         return pa.table({"part": table.column("part"), "again": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept]))
 
     def send_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = {"bucket": pa.int32(), "part": pa.int32(), "run": pa.binary()}
+        schema = {"range": pa.int32(), "part": pa.int32(), "run": pa.binary()}
         if not table.num_rows or not answers.num_rows:
             return pa.table({k: pa.array([], t) for k, t in schema.items()})
         _, texts = in_order(table)
         buffer = b"".join(texts)
-        p, lo, hi, core = named(buffer, [len(t) for t in texts])
         wanted = np.frombuffer(b"".join(answers.column("again").to_pylist()), "<u8")
-        pick = np.flatnonzero(np.isin(core, wanted))
-        by_bucket: dict[int, dict[tuple[bytes, bytes, int], list[int]]] = {}
-        for b, x, a, z in zip((core[pick] & mask).tolist(), p[pick].tolist(), lo[pick].tolist(), hi[pick].tolist()):
-            context = (buffer[x : z + WINDOW], buffer[a:x], x - z)
-            by_bucket.setdefault(b, {}).setdefault(context, []).append(a)
+        contexts = _contexts(buffer, named(buffer, [len(t) for t in texts]), wanted)
+        by_range: dict[int, list[tuple[bytes, bytes, int]]] = {}
+        for context in sorted(contexts):
+            by_range.setdefault(bisect_right(splitters.value, context[0][:CORE]), []).append(context)
         part = table.column("part")[0].as_py()
         out: dict[str, list] = {k: [] for k in schema}
-        for b, contexts in by_bucket.items():
-            order = sorted(contexts)
+        for number, order in by_range.items():
             shared, rest, tails = front_coded([c[0] for c in order])
             places = [contexts[c] for c in order]
             fields = [
@@ -281,33 +319,33 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 np.array([len(c[1]) for c in order], "<u2"),
                 np.array([c[2] for c in order], "<u2"),
                 np.array([len(m) for m in places], "<u4"),
-                np.array([x for m in places for x in m], "<u4"),
+                np.array([m[0] for m in places], "<u4"),
             ]
-            head = np.array([len(order), len(tails), len(fields[-1])], "<u4")
+            head = np.array([len(order), len(tails)], "<u4")
             run = b"".join([head.tobytes(), *(f.tobytes() for f in fields), tails, *(c[1] for c in order)])
-            for k, v in zip(out, (b, part, run)):
+            for k, v in zip(out, (number, part, run)):
                 out[k].append(v)
         return pa.table({k: pa.array(out[k], t) for k, t in schema.items()})
 
     def merge_runs(table: pa.Table) -> pa.Table:
+        """Answers (first start of a context in its part, start and end of a range to remove, from the context's start) as numbers."""
         table = table.combine_chunks().sort_by("part")
         part_of = table.column("part").to_pylist()
-        runs, lefts, lows, places = [], [], [], []
+        runs, lefts, lows, counts, firsts = [], [], [], [], []
         for blob in table.column("run").to_pylist():
-            n, tail_bytes, members = np.frombuffer(blob, "<u4", 3).tolist()
-            at = 12
+            n, tail_bytes = np.frombuffer(blob, "<u4", 2).tolist()
+            at = 8
             fields = []
-            for kind, size in (("<u2", n), ("<u2", n), ("<u2", n), ("<u2", n), ("<u4", n), ("<u4", members)):
-                fields.append(np.frombuffer(blob, kind, size, at))
+            for kind in ("<u2", "<u2", "<u2", "<u2", "<u4", "<u4"):
+                fields.append(np.frombuffer(blob, kind, n, at))
                 at += fields[-1].nbytes
-            shared, rest, left, low, counts, starts = fields
+            shared, rest, left, low, count, first = fields
             runs.append((decoded(shared, rest, blob[at : at + tail_bytes]), shared.tolist()))
             at += tail_bytes
             ends = at + np.cumsum(left, dtype=np.int64)
             lefts.append([blob[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist())])
-            lows.append(low.tolist())
-            cuts = np.cumsum(counts, dtype=np.int64)
-            places.append(np.split(starts, cuts[:-1]))
+            for into, values in ((lows, low), (counts, count), (firsts, first)):
+                into.append(values.tolist())
         order, lengths = merged(runs)
         at = [0] * len(runs)
         group, groups, size = -1, [], []
@@ -320,11 +358,11 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             at[run] += 1
             items.append((run, i))
             groups.append(group)
-            size[group] += len(places[run][i])
+            size[group] += counts[run][i]
         pick = [j for j, g in enumerate(groups) if size[g] > 1]
         items = [items[j] for j in pick]
-        spans: dict[int, list[tuple[int, int]]] = {}
-        # A bucket's groups are settled a few hundred thousand windows at a time, whole groups together.
+        spans: dict[int, list[tuple[int, int, int]]] = {}
+        # A range's groups are settled a few hundred thousand windows at a time, whole groups together.
         at = 0
         while at < len(items):
             end, windows = at, 0
@@ -336,19 +374,30 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             texts = [lefts[r][i] + runs[r][0][i] for r, i in some]
             marks = np.array([len(lefts[r][i]) for r, i in some], np.int64)
             low = np.array([lows[r][i] for r, i in some], np.int64)
-            many = np.array([len(places[r][i]) > 1 for r, i in some])
+            many = np.array([counts[r][i] > 1 for r, i in some])
             for (r, i), ranges in zip(some, _settle(texts, marks, low, marks, many, np.array([groups[j] for j in pick[at:end]], np.int64))):
-                for a, b in ranges:
-                    spans.setdefault(part_of[r], []).extend((s + a, s + b) for s in places[r][i].tolist())
+                spans.setdefault(part_of[r], []).extend((firsts[r][i], a, b) for a, b in ranges)
             at = end
+        spans = {part: v for part, v in spans.items() if v}
         return pa.table({"part": pa.array(list(spans), pa.int32()), "ranges": pa.array([np.array(v, "<u4").tobytes() for v in spans.values()], pa.binary())})
 
+    def to_remove(buffer: bytes, names: tuple[np.ndarray, ...], answers: np.ndarray) -> np.ndarray:
+        """(start, end) in the part: the answered ranges at all places of their contexts."""
+        by_first: dict[int, list[tuple[int, int]]] = {}
+        for first, a, b in answers.tolist():
+            by_first.setdefault(first, []).append((a, b))
+        wanted = np.unique(names[3][np.isin(names[1], answers[:, 0])])
+        found = [(s + a, s + b) for starts in _contexts(buffer, names, wanted).values() for a, b in by_first.get(starts[0], ()) for s in starts]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
         ids, texts = in_order(table)
-        ranges = np.frombuffer(b"".join(answers.column("ranges").to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
-        change = np.zeros(sum(map(len, texts)) + 1, np.int32)
+        answered = np.frombuffer(b"".join(answers.column("ranges").to_pylist()), "<u4").reshape(-1, 3).astype(np.int64)
+        buffer = b"".join(texts)
+        ranges = to_remove(buffer, named(buffer, [len(t) for t in texts]), answered) if len(answered) else np.zeros((0, 2), np.int64)
+        change = np.zeros(len(buffer) + 1, np.int32)
         np.add.at(change, ranges[:, 0], 1)
         np.add.at(change, ranges[:, 1], -1)
         covered = np.cumsum(change[:-1], dtype=np.int32) > 0
@@ -363,9 +412,12 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             removed.append(int(off.sum()))
         return pa.table({"doc_id": ids, "n_bytes": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
 
-    cores = rows.groupBy("part").applyInArrow(send_cores, "bucket int, part int, cores binary, many binary")
-    again = cores.groupBy("bucket").applyInArrow(count_cores, "part int, again binary")
-    runs = rows.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(send_runs, "bucket int, part int, run binary")
-    ranges = runs.groupBy("bucket").applyInArrow(merge_runs, "part int, ranges binary")
+    cores = written(rows.groupBy("part").applyInArrow(send_cores, "bucket int, part int, cores binary, many binary"), "suffix-cores")
+    sample = sorted(bytes(r["cores"]) for r in cores.where("bucket < 0").select("cores").collect())  # about SAMPLES a range
+    step = max(1, len(sample) // ranges_wanted)
+    splitters = docs.sparkSession.sparkContext.broadcast(sorted(set(sample[step::step])))
+    again = cores.where("bucket >= 0").groupBy("bucket").applyInArrow(count_cores, "part int, again binary")
+    runs = rows.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(send_runs, "range int, part int, run binary")
+    ranges = runs.groupBy("range").applyInArrow(merge_runs, "part int, ranges binary")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     return rows.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(remove, schema)

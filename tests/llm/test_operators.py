@@ -90,6 +90,23 @@ def test_substring_dedup_across_parts_and_pieces(docs, rows, monkeypatch):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.removal(docs).collect()) == whole
 
 
+def test_substring_dedup_tells_colliding_windows_apart(docs, monkeypatch):
+    import numpy as np
+
+    from sketchwright.llm import parts
+
+    whole = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.removal(docs).collect())
+    monkeypatch.setattr(parts, "PART_UNITS", 5)
+    real = substring_dedup.windows
+
+    def weak(texts, window, count):
+        hashes, starts, bounds = real(texts, window, 2)
+        return [hashes[0] >> np.uint64(50) << np.uint64(50), hashes[1]][:count], starts, bounds
+
+    monkeypatch.setattr(substring_dedup, "windows", weak)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.removal(docs).collect()) == whole
+
+
 @pytest.mark.parametrize("part_rows", [1000, 5])
 def test_suffix_dedup(docs, rows, none, monkeypatch, part_rows):
     from sketchwright.llm import parts
@@ -114,6 +131,18 @@ def test_suffix_dedup(docs, rows, none, monkeypatch, part_rows):
         assert suffix_dedup.removal(none).count() == 0
 
 
+def test_suffix_windows_are_told_apart_by_bytes():
+    import numpy as np
+
+    rng = random.Random(2)
+    windows = [bytes(rng.choice(b"ab") for _ in range(200)) for _ in range(5)]
+    data = b"".join(windows[k] for k in (0, 1, 0, 2, 3, 1, 4, 0))
+    start = np.arange(0, len(data), 200)
+    for key in (np.zeros(8, np.uint64), np.array([0, 1, 0, 1, 1, 1, 0, 0], np.uint64)):  # keys that collide
+        found = suffix_dedup._repeated(np.frombuffer(data, np.uint8), start, key)
+        assert found.tolist() == [True, True, True, False, False, True, False, True]
+
+
 def test_suffix_merge_is_a_sorted_merge():
     rng = random.Random(3)
     runs = []
