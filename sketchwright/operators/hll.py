@@ -3,12 +3,14 @@
 State: `by` columns, slot INT, value INT for the slots that were hit, lg_k INT. A maximum per slot is all
 that merging needs, so the state rolls up under any grouping. Estimates are those of merged summaries
 (composite estimator); estimates that depend on the order of the keys come from Spark's own sketch.
+
+A second state, `by` columns and sketch BINARY, is that of Spark's own aggregate: it keeps the coupons of small
+groups one by one and registers of large ones, and read() tells which, with the estimate that goes with it.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +23,7 @@ from ..functions.bounds import check_deviations
 from ..functions.coupons import distinct_for
 from ..functions.hashing import DEFAULT_SEED, leading_zeros, with_counted_hash
 from ..functions.relative_errors import hll_error
+from ..sources import codecs
 from .theta import _joined
 
 MIN_LG_K, MAX_LG_K, DEFAULT_LG_K = 4, 21, 12
@@ -96,45 +99,110 @@ def classic_estimate(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return facts(state, by).select(*by, F.when(F.col("hit").isNull() | (F.col("hit") == 0), 0.0).otherwise(value).alias("estimate"))
 
 
-def to_binary(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A row a group with sketch BINARY: eight-bit registers, marked as merged. Spark's hll_sketch_* functions read it."""
+def to_binary(state: DataFrame, by: Sequence[str] = (), bits: int = 8) -> DataFrame:
+    """A row a group with sketch BINARY: registers of 8, 6 or 4 bits, marked as merged. Spark's hll_sketch_* functions read it."""
     groups = state.groupBy(*by).agg(F.min("lg_k").alias("lg_k"), F.collect_list(F.struct("slot", "value")).alias("__r"))
 
+    def packed(lg_k: int, slots: np.ndarray, values: np.ndarray) -> bytes:
+        registers = np.zeros(1 << lg_k, np.uint8)
+        registers[slots] = values
+        return codecs.encode_hll(registers, bits)
+
     @F.pandas_udf("binary")
     def pack(lg: pd.Series, slots: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(n) else pack_registers(int(n), np.asarray(s, np.int64), np.asarray(v, np.int64)) for n, s, v in zip(lg, slots, values)])
+        return pd.Series([None if pd.isna(n) else packed(int(n), np.asarray(s, np.int64), np.asarray(v, np.int64)) for n, s, v in zip(lg, slots, values)])
 
     return groups.select(*by, pack("lg_k", F.col("__r.slot"), F.col("__r.value")).alias("sketch"))
 
 
-def pack_registers(lg_k: int, slots: np.ndarray, values: np.ndarray) -> bytes:
-    registers = np.zeros(1 << lg_k, np.uint8)
-    registers[slots] = values
-    inverse = np.ldexp(1.0, -registers.astype(np.int64))
-    low = registers < 32
-    # preamble ints, version, family, lg_k, lg of the exception table, flags (8 compact, 16 merged), least value, mode 2 and type 2
-    head = struct.pack("<8B", 10, 1, 7, lg_k, 0, 16, 0, 2 | 2 << 2)
-    return head + struct.pack("<dddII", 0.0, inverse[low].sum(), inverse[~low].sum(), int((registers == 0).sum()), 0) + registers.tobytes()
+def linear_estimate(lg_k: int, hit: int) -> float:
+    """How many keys hit so many of 2^lg_k slots, on average: k (1/k + 1/(k-1) + ... + 1/(k-hit+1)); with all hit, k ln 2k."""
+    k = 1 << lg_k
+    if hit >= k:
+        return k * math.log(2 * k)
+
+    def harmonic(n: int) -> float:
+        if n < 32:
+            return math.fsum(1 / i for i in range(1, n + 1))
+        return math.log(n) + np.euler_gamma + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+
+    return k * (harmonic(k) - harmonic(k - hit))
+
+
+def _composite(rounded: int, lg_k: int, hit: int) -> float:
+    """The composite estimate from Spark's, which is rounded: where that is the linear one, the linear one unrounded."""
+    linear = linear_estimate(lg_k, hit)
+    return linear if abs(rounded - linear) <= 0.5 + 1e-6 else float(rounded)
 
 
 def estimate(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """estimate BIGINT of the composite estimator, 0 for a group without keys."""
-    return to_binary(state, by).select(*by, F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("estimate"))
+    """estimate DOUBLE of the composite estimator, 0 for a group without keys. Up to about 0.64 * 2^lg_k keys it counts empty slots; beyond, it is a whole number."""
+    return bounds(state, 1, by).select(*by, "estimate")
 
 
 def bounds(state: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """lower, estimate and upper; no lower than the number of slots hit."""
     check_deviations(num_std_dev)
-    rows = to_binary(state, by).withColumn("estimate", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)))
+    rows = to_binary(state, by).withColumn("__rounded", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)))
     found = _joined(rows.drop("sketch"), facts(state, by).select(*by, "lg_k", "hit"), by)
 
-    def error(upper: bool) -> Column:
-        values = F.array(*[F.lit(hll_error(k, num_std_dev, upper)) for k in range(MIN_LG_K, MAX_LG_K + 1)])
-        return F.element_at(values, F.col("lg_k") - MIN_LG_K + 1)
+    @F.pandas_udf("lower double, estimate double, upper double")
+    def run(rounded: pd.Series, lg: pd.Series, hit: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_bounds(_composite(int(r), int(k), int(h)), int(k), int(h), False, num_std_dev) if h > 0 else (0.0,) * 3 for r, k, h in zip(rounded, lg, hit)], columns=["lower", "estimate", "upper"])
+
+    return found.withColumn("__b", run("__rounded", "lg_k", "hit")).select(*by, "__b.lower", "__b.estimate", "__b.upper")
+
+
+def _bounds(value: float, lg_k: int, hit: int, hip: bool, num_std_dev: int) -> tuple[float, float, float]:
+    low, high = (hll_error(lg_k, num_std_dev, upper, hip) for upper in (False, True))
+    return max(value / (1 + low), float(hit)), value, value / (1 + high)
+
+
+def sketches(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT_LG_K) -> DataFrame:
+    """by, sketch: Spark's own aggregate of integer, string or binary keys. What is shuffled is a summary for each task and group."""
+    check_lg_k(lg_k)
+    return df.groupBy(*by).agg(F.hll_sketch_agg(key, lg_k).alias("sketch"))
+
+
+def merge_sketches(*states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, sketch of the union; a coarser `by` rolls groups up. Small summaries stay small as long as their union is."""
+    rows = None
+    for s in states:
+        one = s.select(*by, "sketch")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*by).agg(F.hll_union_agg("sketch", True).alias("sketch"))
+
+
+def read(states: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """by, mode (list, set or registers), register_bits, lg_k, is_empty, is_merged, lower, estimate, upper of stored summaries.
+
+    Coupons kept one by one are inverted as in small_estimate(); registers give the composite estimate if merged, else
+    the one of the keys' order (HIP), each with its own errors. Null summaries are left out.
+    """
+    check_deviations(num_std_dev)
+    fields = "mode string, register_bits int, lg_k int, is_empty boolean, is_merged boolean, lower double, estimate double, upper double"
+
+    @F.pandas_udf(fields)
+    def run(stored: pd.Series, rounded: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, r in zip(stored, rounded):
+            s = codecs.decode_hll(bytes(v))
+            if s.registers is None:
+                found = _coupon_bounds(len(s.coupons), num_std_dev)
+            else:
+                hit = int(np.count_nonzero(s.registers))
+                value = _composite(int(r), s.lg_k, hit) if s.merged else s.hip
+                found = _bounds(value, s.lg_k, hit, not s.merged, num_std_dev)
+            out.append((s.mode, s.bits, s.lg_k, found[1] == 0, s.merged, *found))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
+
+    rows = states.where(F.col("sketch").isNotNull())
+    return rows.withColumn("__s", run("sketch", F.hll_sketch_estimate("sketch"))).select(*by, "__s.*")
+
 
-    lower = F.greatest(F.col("estimate") / (1 + error(False)), F.col("hit").cast("double"))
-    upper = F.col("estimate") / (1 + error(True))
-    return found.select(*by, F.coalesce(lower, F.lit(0.0)).alias("lower"), "estimate", F.coalesce(upper, F.lit(0.0)).alias("upper"))
+def _coupon_bounds(n: int, num_std_dev: int) -> tuple[float, float, float]:
+    value = max(float(n), distinct_for(COUPON_BITS, n))
+    return max(float(n), value / (1 + num_std_dev * COUPON_RSE)), value, value / (1 - num_std_dev * COUPON_RSE)
 
 
 def small_estimate(rows: DataFrame, by: Sequence[str] = (), num_std_dev: int = 2) -> DataFrame:
@@ -142,13 +210,11 @@ def small_estimate(rows: DataFrame, by: Sequence[str] = (), num_std_dev: int = 2
     check_deviations(num_std_dev)
     found = rows.groupBy(*by).agg(F.countDistinct("slot26", "value").alias("n"))
 
-    @F.pandas_udf("double")
-    def invert(n: pd.Series) -> pd.Series:
-        return pd.Series([max(float(c), distinct_for(COUPON_BITS, int(c))) for c in n])
+    @F.pandas_udf("lower double, estimate double, upper double")
+    def invert(n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_coupon_bounds(int(c), num_std_dev) for c in n], columns=["lower", "estimate", "upper"])
 
-    e = F.col("estimate")
-    found = found.withColumn("estimate", invert("n"))
-    return found.select(*by, F.greatest(F.col("n").cast("double"), e / (1 + num_std_dev * COUPON_RSE)).alias("lower"), "estimate", (e / (1 - num_std_dev * COUPON_RSE)).alias("upper"))
+    return found.withColumn("__b", invert("n")).select(*by, "__b.lower", "__b.estimate", "__b.upper")
 
 
 def ordered_estimate(df: DataFrame, key: str, by: Sequence[str] = (), lg_k: int = DEFAULT_LG_K) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import murmur3_sql, xxh64_sql
+from ..functions.relative_errors import hll_error
 from ..operators import bloom, countmin, cpc, frequent, hll, tdigest, theta, tuples
+from ..sources import tables
 from ..streaming import rollups
 from .rollup import SketchTable
 
@@ -182,6 +185,164 @@ n AS (SELECT {_BY}, CAST(h1 >> 1 AS BIGINT) AS hash, count(*) FILTER (o_orderpri
 """
 
 
+# --- stored forms: states written to bytes and read back ---
+
+
+def theta_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.theta_from_binary(tables.theta_to_binary(_by_flag(spark, sf_dir), [FLAG]), by=[FLAG], lg_k=LG).select(FLAG, "hash", "theta")
+
+
+def theta_bytes_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.theta_from_binary(tables.theta_to_binary(_by_flag(spark, sf_dir), [FLAG], compressed=True), by=[FLAG], lg_k=LG).select(FLAG, "hash", "theta")
+
+
+def tuple_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.tuple_from_binary(tables.tuple_to_binary(_spend(spark, sf_dir), "i64", [FLAG]), "i64", by=[FLAG], lg_k=LG).select(FLAG, "hash", "summary")
+
+
+def hll_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hll_from_binary(hll.to_binary(hll_registers(spark, sf_dir), [FLAG]), by=[FLAG])
+
+
+def hll_bytes_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hll_from_binary(hll.to_binary(hll_registers(spark, sf_dir), [FLAG], 6), by=[FLAG])
+
+
+def hll_bytes_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hll_from_binary(hll.to_binary(hll_registers(spark, sf_dir), [FLAG], 4), by=[FLAG])
+
+
+def hll_coupon_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hll.coupons(_table(spark, sf_dir, "customer"), "c_custkey", ["c_mktsegment"])
+    return tables.hll_coupons_from_binary(tables.hll_coupons_to_binary(rows, ["c_mktsegment"]), by=["c_mktsegment"])
+
+
+def bloom_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.bloom_from_binary(tables.bloom_to_binary(bloom_words(spark, sf_dir), BLOOM))
+
+
+def countmin_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countmin.counters(tables.countmin_from_binary(tables.countmin_to_binary(_quantities(spark, sf_dir), CM, [FLAG]), by=[FLAG]), [FLAG])
+
+
+def frequent_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = tables.frequent_from_binary(tables.frequent_to_binary(_hitters(spark, sf_dir), 6, [FLAG]), by=[FLAG])
+    return frequent.frequent_items(state, False)
+
+
+def tdigest_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.tdigest_from_binary(tables.tdigest_to_binary(_prices(spark, sf_dir), [FLAG]), by=[FLAG]).select(FLAG, "min", "max", "weight")
+
+
+# --- string keys: eight characters, whose bytes make the BIGINT that SQL hashes ---
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").withColumn("word", F.lpad(F.col("l_orderkey").cast("string"), 8, "0"))
+
+
+_WORD = "lpad(CAST(l_orderkey AS VARCHAR), 8, '0')"
+_TEXTS_SQL = f"w AS (SELECT {FLAG}, {' + '.join(f'CAST(ascii(substr({_WORD}, {i + 1}, 1)) AS BIGINT) * {256**i}' for i in range(8))} AS k, CAST(l_quantity AS BIGINT) AS qty FROM lineitem)"
+
+
+def theta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return theta.build(_texts(spark, sf_dir), "word", [FLAG], lg_k=LG).select(FLAG, "hash", "theta")
+
+
+def theta_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the built-in aggregate."""
+    return theta.build(_texts(spark, sf_dir), "word", [FLAG], lg_k=LG, native=False).select(FLAG, "hash", "theta")
+
+
+def tuple_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir).withColumn("qty", F.col("l_quantity").cast("long"))
+    return tuples.build(rows, "word", "qty", [FLAG], lg_k=LG).select(FLAG, "hash", "summary")
+
+
+def hll_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hll.build(_texts(spark, sf_dir), "word", [FLAG], lg_k=10)
+
+
+def cpc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpc.build(_texts(spark, sf_dir), "word", [FLAG], lg_k=10)
+
+
+def countmin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countmin.counters(countmin.build(_texts(spark, sf_dir), "word", CM, [FLAG]), [FLAG])
+
+
+def bloom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom.build(_texts(spark, sf_dir).where("l_quantity > 45"), "word", BLOOM)
+
+
+def frequent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").withColumn("word", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"))
+    return frequent.frequent_items(frequent.build(rows, "word", HITTERS, [FLAG]), False)
+
+
+# --- bounds and estimates against exact answers ---
+
+
+def theta_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return theta.exactly_equal(*_two(spark, sf_dir), by=[_BY])
+
+
+def theta_jaccard_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact similarity is within twice the distance of the bounds."""
+    orders = _table(spark, sf_dir, "orders")
+    sides = orders.groupBy(_BY, "o_custkey").agg(F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("a"), F.max((F.col("o_orderpriority") == "2-HIGH").cast("int")).alias("b"))
+    exact = sides.groupBy(_BY).agg((F.sum(F.col("a") * F.col("b")) / F.sum(F.greatest("a", "b"))).alias("exact"))
+    found = theta.jaccard(*_two(spark, sf_dir), by=[_BY]).join(exact, _BY)
+    near = F.abs(F.col("exact") - F.col("estimate")) <= F.greatest(F.col("upper") - F.col("estimate"), F.col("estimate") - F.col("lower")) * 2
+    return found.select(_BY, near.alias("within"))
+
+
+def _exact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy(FLAG).agg(F.countDistinct("l_orderkey").alias("exact"))
+
+
+def _within(found: DataFrame, exact: DataFrame) -> DataFrame:
+    joined = found.join(exact, FLAG)
+    return joined.select(FLAG, "exact", ((F.col("lower") <= F.col("exact")) & (F.col("exact") <= F.col("upper"))).alias("within"))
+
+
+def theta_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within(theta.bounds(_by_flag(spark, sf_dir), 3, [FLAG]), _exact_orders(spark, sf_dir))
+
+
+def hll_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within(hll.bounds(hll_registers(spark, sf_dir), 3, [FLAG]), _exact_orders(spark, sf_dir))
+
+
+def hll_sketches_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of Spark's own, for both line statuses, merged."""
+    fine = hll.sketches(_table(spark, sf_dir, "lineitem"), "l_orderkey", [FLAG, MODE])
+    return _within(hll.read(hll.merge_sketches(fine, by=[FLAG]), 3, [FLAG]), _exact_orders(spark, sf_dir))
+
+
+def cpc_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within(cpc.bounds(cpc_state(spark, sf_dir), 3, [FLAG]), _exact_orders(spark, sf_dir))
+
+
+def cpc_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coupons that as many keys as estimated leave on average, in SQL from the estimate, rounded: those seen."""
+    found = cpc.bounds(cpc_state(spark, sf_dir), 2, [FLAG]).select(FLAG, "estimate")
+    mean = sum(1024 * (1 - F.exp(F.col("estimate") * F.log1p(F.lit(-(2.0 ** -(c + 1)) / 1024)))) for c in range(64))
+    return found.select(FLAG, F.round(mean).cast("long").alias("num_coupons"))
+
+
+def hll_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys for many slots: the estimate from empty slots, with its bounds."""
+    return hll.bounds(hll.build(_table(spark, sf_dir, "customer"), "c_custkey", ["c_mktsegment"], lg_k=15), 2, ["c_mktsegment"])
+
+
+def hll_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's own summaries of few and many keys: how they are kept, and the estimates of those kept as coupons."""
+    found = hll.read(hll.sketches(_table(spark, sf_dir, "nation"), "n_nationkey", ["n_regionkey"]), 2, ["n_regionkey"])
+    more = hll.read(hll.sketches(_table(spark, sf_dir, "nation"), "n_nationkey"), 2).withColumn("n_regionkey", F.lit(None).cast("int"))
+    return found.unionByName(more).select("n_regionkey", "mode", "lg_k", "is_empty", "lower", "estimate", "upper")
+
+
 # --- hll and cpc ---
 
 
@@ -454,6 +615,27 @@ def tdigest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select(FLAG, F.col("i").cast("int").alias("i"), (F.abs(F.col("rank") - wanted) <= 0.01).alias("within"))
 
 
+def _ranks_within(spark: SparkSession, sf_dir: str, points: list[float], found: DataFrame, name: str) -> DataFrame:
+    """Whether each of the first len(points) values of the array is within 1 % of the share of rows at or below its point (equal ones half)."""
+    exact = [(F.avg((F.col("l_extendedprice") < p).cast("double")) + F.avg((F.col("l_extendedprice") == p).cast("double")) / 2) for p in points]
+    rows = _table(spark, sf_dir, "lineitem").groupBy(FLAG).agg(F.array(*exact).alias("exact")).join(found, FLAG)
+    return rows.select(FLAG, *[(F.abs(F.get(name, i) - F.get("exact", i)) <= 0.01).alias(f"within_{i}") for i in range(len(points))])
+
+
+def tdigest_rank_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks_within(spark, sf_dir, [20_000.0, 50_000.0], tdigest_rank(spark, sf_dir), "ranks")
+
+
+def tdigest_cdf_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks_within(spark, sf_dir, [20_000.0, 50_000.0], tdigest_cdf(spark, sf_dir), "cdf")
+
+
+def tdigest_pmf_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares, added up, against the exact ranks."""
+    sums = F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.aggregate(F.slice("pmf", 1, n), F.lit(0.0), lambda a, x: a + x))
+    return _ranks_within(spark, sf_dir, [20_000.0, 50_000.0], tdigest_pmf(spark, sf_dir).select(FLAG, sums.alias("sums")), "sums")
+
+
 def tdigest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tdigest.ranks(_prices(spark, sf_dir), [20_000.0, 50_000.0], [FLAG])
 
@@ -479,10 +661,15 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     found = rollups.windowed_registers(stream, "ts", "user_id", "1 hour", "1 day", ["event_type"], lg_k=6)
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    query = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.gettempdir()  # where one machine does all
+    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    query = found.writeStream.outputMode("complete").foreachBatch(rollups.replacing(path)).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    table = rollups.latest(spark, path, query.lastProgress["batchId"])
+    return table.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def queries() -> dict[str, Query]:
@@ -490,6 +677,10 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own if getattr(f, "__module__", "") == __name__}
 
 
+#: A CTE e from c (n coupons): the keys that leave n coupons on average, for few against 2^26 slots: two keys leave one with a probability of 2^-26 / 3.
+_COUPON_SQL = "e AS (SELECT *, n + n * (n - 1) / 2 / 3 / 67108864 AS e FROM c)"
+
+
 def oracle_sql() -> dict[str, str]:
     flag_rows = f"SELECT {FLAG}, hash, theta FROM s"
     z = 2.0
@@ -498,6 +689,47 @@ def oracle_sql() -> dict[str, str]:
         "theta_retained": f"WITH {_FLAG_SQL} {flag_rows}",
         "theta_sampled": f"WITH {_theta_sql('lineitem', 'l_orderkey', FLAG, 14, 's', 0.25)} {_summary_sql('s', FLAG, 14)}",
         "theta_exact": f"WITH {_theta_sql('customer', 'c_custkey', 'c_mktsegment', 16, 's')} {_summary_sql('s', 'c_mktsegment', 16)}",
+        "theta_bytes": f"WITH {_FLAG_SQL} {flag_rows}",
+        "theta_bytes_compressed": f"WITH {_FLAG_SQL} {flag_rows}",
+        "theta_text": f"WITH {_TEXTS_SQL}, {_theta_sql('w', 'k', FLAG, LG, 's')} {flag_rows}",
+        "theta_text_columns": f"WITH {_TEXTS_SQL}, {_theta_sql('w', 'k', FLAG, LG, 's')} {flag_rows}",
+        "theta_unequal": f"""WITH {_SIDES_SQL}, x AS (SELECT {_BY}, hash, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+SELECT x.{_BY}, min(n) = 2 AND min(ta.theta = tb.theta) AS is_equal FROM x JOIN ta USING ({_BY}) JOIN tb USING ({_BY}) GROUP BY 1""",
+        "theta_jaccard_within": f"SELECT DISTINCT {_BY}, TRUE AS within FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
+        **{n: f"SELECT {FLAG}, count(DISTINCT l_orderkey) AS exact, TRUE AS within FROM lineitem GROUP BY 1" for n in ("theta_within", "hll_within", "hll_sketches_within", "cpc_within")},
+        "tuple_bytes": f"{_keyed_sql('sum')} SELECT s.{FLAG}, s.hash, summary FROM s JOIN w ON s.{FLAG} = w.{FLAG} AND s.hash = w.hash",
+        "tuple_text": f"""WITH {_TEXTS_SQL}, {_theta_sql('w', 'k', FLAG, LG, 's')}, {murmur3_sql("w", "k", f"{FLAG}, qty", "v")},
+x AS (SELECT {FLAG}, CAST(h1 >> 1 AS BIGINT) AS hash, CAST(sum(qty) AS BIGINT) AS summary FROM v GROUP BY 1, 2)
+SELECT s.{FLAG}, s.hash, summary FROM s JOIN x ON s.{FLAG} = x.{FLAG} AND s.hash = x.hash""",
+        **{n: f"{_REG_SQL} SELECT {FLAG}, slot, value, 10 AS lg_k FROM g" for n in ("hll_bytes", "hll_bytes_6", "hll_bytes_4")},
+        "hll_text": f"WITH {_TEXTS_SQL}, {murmur3_sql('w', 'k', FLAG, 'm')} SELECT {FLAG}, CAST(h1 & 1023 AS INTEGER) AS slot, CAST(max({_lead_sql(62)} + 1) AS INTEGER) AS value, 10 AS lg_k FROM m GROUP BY 1, 2",
+        "hll_coupon_bytes": f"WITH {murmur3_sql('customer', 'c_custkey', 'c_mktsegment', 'm')} SELECT DISTINCT c_mktsegment, CAST(h1 & 67108863 AS INTEGER) AS slot26, CAST({_lead_sql(62)} + 1 AS INTEGER) AS value FROM m",
+        "hll_small": f"""WITH {murmur3_sql('customer', 'c_custkey', 'c_mktsegment', 'm')},
+c AS (SELECT c_mktsegment, count(DISTINCT (h1 & 67108863) * 64 + {_lead_sql(62)})::DOUBLE AS n FROM m GROUP BY 1), {_COUPON_SQL} SELECT c_mktsegment, greatest(n, e / (1 + 2 * {hll.COUPON_RSE!r}::DOUBLE)) AS lower, e AS estimate, e / (1 - 2 * {hll.COUPON_RSE!r}::DOUBLE) AS upper FROM e""",
+        "hll_modes": f"""WITH {murmur3_sql('nation', 'n_nationkey', 'n_regionkey', 'm')}, p AS (SELECT n_regionkey, (h1 & 67108863) * 64 + {_lead_sql(62)} AS x FROM m),
+c AS (SELECT n_regionkey, count(DISTINCT x)::DOUBLE AS n FROM p GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT x)::DOUBLE FROM p), {_COUPON_SQL}
+SELECT n_regionkey, CASE WHEN n < 8 THEN 'list' ELSE 'set' END AS mode, 12 AS lg_k, FALSE AS is_empty, greatest(n, e / (1 + 2 * {hll.COUPON_RSE!r}::DOUBLE)) AS lower, e AS estimate, e / (1 - 2 * {hll.COUPON_RSE!r}::DOUBLE) AS upper FROM e""",
+        "hll_linear": f"""WITH {murmur3_sql('customer', 'c_custkey', 'c_mktsegment', 'm')},
+c AS (SELECT c_mktsegment, count(DISTINCT h1 & 32767) AS hit FROM m GROUP BY 1),
+e AS (SELECT c_mktsegment, any_value(hit) AS hit, 32768 * sum(1::DOUBLE / i) AS e FROM c JOIN range(1, 32769) r(i) ON i > 32768 - hit GROUP BY 1)
+SELECT c_mktsegment, greatest(e / (1 + {hll_error(15, 2, False)!r}::DOUBLE), hit) AS lower, e AS estimate, e / (1 + ({hll_error(15, 2, True)!r})::DOUBLE) AS upper FROM e""",
+        "cpc_text": f"""WITH {_TEXTS_SQL}, {murmur3_sql('w', 'k', FLAG, 'm')}, c AS (SELECT DISTINCT {FLAG}, CAST(h1 & 1023 AS INTEGER) AS row, CAST({_lead_sql(63)} AS INTEGER) AS col FROM m),
+p AS (SELECT {FLAG}, row, sum(CAST(1 AS HUGEINT) << col)::UHUGEINT AS bits FROM c GROUP BY 1, 2) SELECT {FLAG}, row, {_BITS_SQL} AS bits, 10 AS lg_k FROM p""",
+        "cpc_inverse": f"{_CPC_SQL} SELECT {FLAG}, count(*) AS num_coupons FROM c GROUP BY 1",
+        "cpc_ordered": f"""WITH {murmur3_sql('events', 'user_id', 'event_type, event_id', 'm')},
+c AS (SELECT event_type, CAST(h1 & 1023 AS INTEGER) AS row, CAST({_lead_sql(63)} AS INTEGER) AS col, min(event_id) AS since FROM m GROUP BY 1, 2, 3),
+b AS (SELECT event_type, coalesce(sum(pow(2::DOUBLE, -(col + 1))) OVER (PARTITION BY event_type ORDER BY since, row, col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM c)
+SELECT event_type, sum(1024 / (1024 - gone)) AS estimate FROM b GROUP BY 1""",
+        "bloom_bytes": f"{_BLOOM_SQL} SELECT word, {_BITS_SQL} AS bits FROM w",
+        "bloom_text": f"WITH src AS (SELECT k FROM (SELECT {_TEXTS_SQL.split('SELECT', 1)[1].rsplit(' FROM', 1)[0]} FROM lineitem WHERE l_quantity > 45)), {_bloom_sql('src', 'k', 'f')}, {_words_sql('f', 'w')} SELECT word, {_BITS_SQL} AS bits FROM w",
+        "countmin_bytes": f"{_CM_TABLE_SQL} SELECT * FROM state",
+        "countmin_text": f"""WITH {_TEXTS_SQL}, pre AS (SELECT {FLAG}, k, count(*) AS n FROM w GROUP BY 1, 2),
+{_cm_sql("pre", "k", f"{FLAG}, n")}
+SELECT {FLAG}, row, bucket, CAST(sum(n) AS BIGINT) AS cnt, any_value(total) AS total FROM cells JOIN (SELECT {FLAG}, count(*) AS total FROM lineitem GROUP BY 1) USING ({FLAG}) GROUP BY 1, 2, 3""",
+        "frequent_bytes": f"{_FREQ_SQL} SELECT {FLAG}, item, n AS estimate, n - cut AS lower_bound, n AS upper_bound FROM c JOIN k USING ({FLAG}) WHERE n > cut",
+        "frequent_text": f"{_FREQ_SQL} SELECT {FLAG}, lpad(CAST(item AS VARCHAR), 8, '0') AS item, n AS estimate, n - cut AS lower_bound, n AS upper_bound FROM c JOIN k USING ({FLAG}) WHERE n > cut",
+        "tdigest_bytes": f"SELECT {FLAG}, min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS weight FROM lineitem GROUP BY 1",
+        **{n: f"SELECT DISTINCT {FLAG}, TRUE AS within_0, TRUE AS within_1 FROM lineitem" for n in ("tdigest_rank_within", "tdigest_cdf_within", "tdigest_pmf_within")},
         "theta_rollup": f"WITH {_FLAG_SQL} {_summary_sql('s', FLAG, LG)}",
         "theta_compact": f"WITH {_FLAG_SQL} {_summary_sql('s', FLAG, LG)}",
         "theta_bounds": f"""WITH {_FLAG_SQL},

@@ -69,6 +69,28 @@ def hll_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = (
     return cells.select(*by, F.col("__c.slots").alias("slot"), F.col("__c.registers").alias("value"), "lg_k")
 
 
+def hll_coupons_to_binary(rows: DataFrame, by: Sequence[str] = (), lg_k: int = 12) -> DataFrame:
+    """by, sketch BINARY of small groups' coupons (slot26, value), kept one by one as a list or a set."""
+
+    @F.pandas_udf("binary")
+    def pack(slots: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([codecs.encode_hll_coupons([(int(a), int(b)) for a, b in zip(s, v)], lg_k) for s, v in zip(slots, values)])
+
+    groups = rows.groupBy(*by).agg(F.collect_set(F.struct("slot26", "value")).alias("c"))
+    return groups.select(*by, pack("c.slot26", "c.value").alias("sketch"))
+
+
+def hll_coupons_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = ()) -> DataFrame:
+    """by, slot26, value of stored lists and sets; summaries that have registers by now have no coupons."""
+
+    @F.pandas_udf("array<struct<slot26: int, value: int>>")
+    def unpack(values: pd.Series) -> pd.Series:
+        return pd.Series([[{"slot26": a, "value": b} for a, b in codecs.decode_hll(bytes(v)).coupons] for v in values])
+
+    rows = df.where(F.col(sketch).isNotNull()).select(*by, F.explode(unpack(sketch)).alias("c"))
+    return rows.select(*by, "c.slot26", "c.value")
+
+
 def tuple_to_binary(state: DataFrame, kind: str, by: Sequence[str] = (), seed: int = DEFAULT_SEED) -> DataFrame:
     """by, sketch BINARY; kind names the stored type of the summaries: u32, i32, u64, i64, f32 or f64."""
     codec = codecs.summary_codec(kind)

@@ -45,6 +45,15 @@ def merging_into(path: str, build: Callable[[DataFrame], DataFrame], merge: Call
     return run
 
 
+def replacing(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch in complete mode: the newest result as a version under path, written by the executors; latest() reads it."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return run
+
+
 def latest(spark, path: str, number: int) -> DataFrame | None:
     """The state after batch `number`, or after the last one before it that is there."""
     while number >= 0:

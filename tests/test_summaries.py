@@ -249,6 +249,29 @@ def test_hll_stored_forms(spark):
         codecs.decode_hll(b"\x0a\x01\x08")
 
 
+def test_hll_small_summaries_keep_their_coupons(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 5, "few").when(F.col("id") < 300, "some").otherwise("many").alias("g"))
+    found = {r.g: r for r in hll.read(hll.sketches(df, "id", ["g"]), 2, ["g"]).collect()}
+    assert [found[g].mode for g in ("few", "some", "many")] == ["list", "set", "registers"]
+    assert abs(found["few"].estimate - 5) < 1e-3 and abs(found["some"].estimate - 295) < 1e-3
+    assert all(found[g].lower <= n <= found[g].upper for g, n in (("few", 5), ("some", 295), ("many", 2700)))
+    whole = one(hll.read(hll.merge_sketches(hll.sketches(df, "id", ["g"]))))
+    assert whole.is_merged and whole.estimate == pytest.approx(3000, rel=0.03)
+    small = one(hll.read(hll.merge_sketches(hll.sketches(df, "id", ["g"]).where("g = 'few'"))))
+    assert small.mode == "list" and abs(small.estimate - 5) < 1e-3
+    assert one(hll.read(hll.sketches(spark.range(0), "id"))).is_empty
+    state = hll.build(spark.range(100), "id")
+    assert one(hll.estimate(state)).estimate == pytest.approx(100, abs=4) and one(hll.estimate(state)).estimate % 1 > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 300])
+def test_hll_coupon_bytes_are_read_by_the_built_in(spark, n):
+    rows = hll.coupons(spark.range(n), "id")
+    stored = tables.hll_coupons_to_binary(rows) if n else spark.createDataFrame([(bytearray(codecs.encode_hll_coupons([], 12)),)], "sketch binary")
+    assert one(stored.select(F.hll_sketch_estimate("sketch")))[0] == n
+    assert sorted(tables.hll_coupons_from_binary(stored).collect()) == sorted(rows.distinct().collect())
+
+
 def test_coupon_estimates():
     for n in (1, 10, 1000, 1e6):
         assert distinct_for(11, round(expected_coupons(11, n))) == pytest.approx(n, rel=0.05 if n < 100 else 0.01, abs=0.6)
@@ -429,15 +452,18 @@ def test_stored_tables_round_trip(spark):
 def test_stored_coupons_are_read(spark):
     n = one(cpc.num_coupons(cpc.build(spark.range(3000), "id"))).num_coupons
     short = hashing.seed_hash(9001)
-    unmerged = codecs.Writer().put("B", 8, 1, 16, 11, 0, 4 | 16).put("H", short).put("I", n, 77).put("d", 1.0, 2992.5).raw(b"packed").done()
-    merged = codecs.Writer().put("B", 4, 1, 16, 11, 0, 16).put("H", short).put("I", n, 77).raw(b"packed").done()
-    empty = codecs.Writer().put("B", 2, 1, 16, 11, 0, 0).put("H", short).done()
+    unmerged = codecs.Writer().put("B", 8, 1, 16, 11, 0, 2 | 4 | 16).put("H", short).put("I", n, 77).put("d", 1.0, 2992.5).raw(b"packed").done()
+    merged = codecs.Writer().put("B", 4, 1, 16, 11, 0, 2 | 16).put("H", short).put("I", n, 77).raw(b"packed").done()
+    empty = codecs.Writer().put("B", 2, 1, 16, 11, 0, 2).put("H", short).done()
     rows = spark.createDataFrame([(1, bytearray(unmerged)), (2, bytearray(merged)), (3, bytearray(empty)), (4, None)], "g int, sketch binary")
     found = {r.g: r for r in tables.cpc_from_binary(rows, by=["g"]).collect()}
     assert found[1].estimate == 2992.5 and found[1].num_coupons == n and found[1].lower < 2992.5 < found[1].upper
     assert found[2].estimate == pytest.approx(distinct_for(11, n)) and found[3].is_empty and set(found) == {1, 2, 3}
     with pytest.raises(SketchDataError):
         codecs.cpc_facts(unmerged, seed=1)
+    for bad in (merged[:4] + bytes([64]) + merged[5:], merged[:5] + bytes([16]) + merged[6:]):  # first column, compression
+        with pytest.raises(SketchDataError):
+            codecs.cpc_facts(bad)
 
 
 # --- streams and tables ---
@@ -454,6 +480,18 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
     assert sorted(spark.table("registers").select("window_start", "slot", "value").collect()) == sorted(batch.collect())
 
 
+def test_stream_windows_of_theta(spark, tmp_path):
+    rows = spark.range(600).select(F.timestamp_seconds(F.col("id") * 10).alias("ts"), (F.col("id") % 97).alias("k"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    found = rollups.windowed_theta(stream, "ts", "k", "20 minutes", "1 hour")
+    path = str(tmp_path / "out")
+    query = found.writeStream.outputMode("complete").foreachBatch(rollups.replacing(path)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    exact = rows.groupBy(F.window("ts", "20 minutes")["start"].alias("w")).agg(F.countDistinct("k").alias("n"))
+    assert sorted((r.window_start, int(r.estimate)) for r in rollups.latest(spark, path, 99).collect()) == sorted(map(tuple, exact.collect()))
+
+
 def test_late_batches_merge(spark, tmp_path):
     path = str(tmp_path / "state")
     run = rollups.merging_into(path, lambda b: theta.build(b, "id"), lambda a, b: theta.union(a, b))
