@@ -80,10 +80,10 @@ OTHER_BYTE_BASE, OTHER_WORD_BASE = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 
 def is_pair_in(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Whether each (a, b) is a row of pairs."""
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    low, high = np.searchsorted(pairs[:, 0], a, "left"), np.searchsorted(pairs[:, 0], a, "right")
-    found = np.zeros(len(a), bool)
-    for k in range(int((high - low).max(initial=0))):  # one step, unless first numbers collide
-        at = np.flatnonzero(low + k < high)
-        found[at] |= pairs[low[at] + k, 1] == b[at]
-    return found
+    both = np.concatenate([np.stack([a, b], axis=1), pairs])
+    order = np.lexsort((np.arange(len(both)) < len(a), both[:, 1], both[:, 0]))  # of equal ones those of pairs first
+    ranked = both[order]
+    starts = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)])[: len(ranked)]
+    found = np.zeros(len(both), bool)
+    found[order] = (order >= len(a))[np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(both) else False
+    return found[: len(a)]

@@ -75,9 +75,10 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
     gives no rows.
 
     Ids are cut into parts. A part sends each distinct window hash once, dealt by ranges of the hash; a range
-    answers with a bit each: another part has it too. For those windows the part sends both hashes, 128 bits,
-    and the range answers which pairs an earlier part has. So a passage in any number of documents costs a
-    reducer one pair a part, never its documents, and windows are alike if 128 bits of two independent hashes are.
+    answers with a bit each: another part has it too. For those windows the part sends a second hash to the
+    same range, which answers which of them an earlier part has. So a passage in any number of documents costs
+    a reducer one hash a part, never its documents. Windows are alike if the second, independent hash agrees in
+    64 bits, and the first with that of another part's window in 64 and with this one's in those of its range.
     """
     rows, parts = dealt(docs, text, key)
     buckets = buckets_for(parts)
@@ -122,23 +123,23 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
             a, b = ends[bucket], ends[bucket + 1]
             shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
         pick = shared[place]
-        pairs = np.stack([first[pick], second[pick]], axis=1)
+        pairs = np.stack([first[pick] >> shift, second[pick]], axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)]]
-        ends = by_bucket(pairs[:, 0])
+        ends = np.searchsorted(pairs[:, 0], np.arange(buckets + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(ends))
-        return sent(table, full, [pairs[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in full])
+        return sent(table, full, [pairs[ends[k] : ends[k + 1], 1].astype("<u8").tobytes() for k in full])
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("part")
         blobs = table.column("hashes").to_pylist()
-        pairs = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, 2)
-        order = np.lexsort((np.arange(len(pairs)), pairs[:, 1], pairs[:, 0]))  # equal pairs stay in the order of their parts
-        again = np.zeros(len(pairs), bool)
-        again[order[1:]] = (pairs[order][1:] == pairs[order][:-1]).all(axis=1)
-        ends = np.cumsum([len(b) // 16 for b in blobs])
-        kept = [p[m].tobytes() for p, m in zip(np.split(pairs, ends[:-1]), np.split(again, ends[:-1]))]
-        return pa.table({"part": table.column("part"), "again": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept]))
+        hashes = np.frombuffer(b"".join(blobs), "<u8")
+        order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of their parts
+        again = np.zeros(len(hashes), bool)
+        again[order[1:]] = hashes[order][1:] == hashes[order][:-1]
+        ends = np.cumsum([len(b) // 8 for b in blobs])
+        kept = [h[m].tobytes() for h, m in zip(np.split(hashes, ends[:-1]), np.split(again, ends[:-1]))]
+        return table.drop_columns("hashes").append_column("again", pa.array(kept, pa.binary())).filter(pa.array([bool(k) for k in kept]))
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -148,7 +149,9 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
         order = np.lexsort((np.arange(len(first)), second, first))
         gone = np.zeros(len(first), bool)  # within the part, all but the first of equal windows
         gone[order[1:]] = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
-        gone |= is_pair_in(first, second, np.frombuffer(b"".join(answers.column("again").to_pylist()), "<u8").reshape(-1, 2))
+        again = answers.column("again").to_pylist()
+        of = np.repeat(np.array(answers.column("bucket").to_pylist(), np.uint64), [len(b) // 8 for b in again])
+        gone |= is_pair_in(first >> shift, second, np.stack([of, np.frombuffer(b"".join(again), "<u8")], axis=1))
         change = np.zeros(bounds[-1] + 1, np.int64)
         np.add.at(change, starts[gone], 1)
         np.add.at(change, starts[gone] + window, -1)
@@ -172,7 +175,7 @@ def removal(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
     hashes = "bucket int, part int, hashes binary"
     shared = rows.groupBy("part").applyInArrow(send, hashes).groupBy("bucket").applyInArrow(compare, "part int, bucket int, shared binary")
     pairs = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(confirm, hashes)
-    answers = pairs.groupBy("bucket").applyInArrow(settle, "part int, again binary")
+    answers = pairs.groupBy("bucket").applyInArrow(settle, "bucket int, part int, again binary")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, schema)
 
