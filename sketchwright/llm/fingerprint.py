@@ -11,6 +11,8 @@ from .common import SPACES, plain_text, splitters, whole, with_range, written
 SAMPLES, AT_ONCE = 32, 8
 #: Units of a range in which the next document is looked up, at least and at most; a text has one for each UNIT bytes begun.
 RANGE_UNITS, MOST_UNITS, UNIT = 1000, 32_000, 8192
+#: Ranges up to which their heads are broadcast (20 MB); beyond, they are met by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def sorted_terms(text: Column) -> Column:
@@ -65,7 +67,8 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         return slim.select("part", F.lit(1).alias("place"), "doc_id", "text", F.lit("").alias("next_text"), F.lit(0).alias("next_part"), F.lit(1).alias("next_place"))
     downwards = sorted(heads, reverse=True)
     after = spark.createDataFrame([(heads[n], n, p) for p, n in zip(downwards, [*downwards[1:], downwards[0]])], "head long, from_part int, part int")
-    # The ranges' heads: a row of three numbers a range, so a few MB at most; no hint, Spark sees the size.
+    if len(downwards) <= BROADCAST_ROWS:
+        after = F.broadcast(after)  # the ranges' heads, three numbers each
     firsts = slim.drop("part").join(after, F.col("doc_id").eqNullSafe(F.col("head")))
     copies = firsts.groupBy("doc_id", "part", "from_part").agg(F.min("text").alias("text"))
     rows = slim.select("part", F.lit(0).alias("late"), "doc_id", "text", F.lit(0).alias("from_part"))
