@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from .common import SPACES, plain_text, splitters, whole, with_range, written
 
 #: Samples of a fingerprint, and how many of them one generated row computes (more would make methods that the JIT leaves alone).
-SAMPLES, AT_ONCE = 32, 8
+SAMPLES, AT_ONCE = 64, 8
 #: Units of a range in which the next document is looked up, at least and at most; a text has one for each UNIT bytes begun.
 RANGE_UNITS, MOST_UNITS, UNIT = 1000, 32_000, 8192
 #: Ranges up to which their heads are broadcast (20 MB); beyond, they are met by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def sorted_terms(text: Column) -> Column:
-    """array<long>: the XXH64 of each word, ascending, so that a word's occurrences stand together."""
-    words = F.array_remove(F.split(text, SPACES), "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+def sorted_terms(own: Column, edited: Column) -> Column:
+    """array<long>: of each word of both texts the low 63 bits of its XXH64, and in the last bit whether it is the edited text's; ascending.
+
+    So the occurrences of a word in one text stand together, those in the other next to them.
+    """
+
+    def marked(text: Column, mark: int) -> Column:
+        words = F.array_remove(F.split(text, SPACES), "")
+        return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(mark).cast("long")))
+
+    return F.sort_array(F.concat(marked(own, 0), marked(edited, 1)))
 
 
 def _run_ends(terms: Column) -> Column:
@@ -27,6 +34,26 @@ def _run_ends(terms: Column) -> Column:
     return F.filter(places, lambda i: ~F.get(terms, i).eqNullSafe(F.get(terms, i + 1)))
 
 
+def _weighed(terms: Column, ends: Column) -> Column:
+    """array<struct<term, own, edited>>: each term of either text once, with the logarithm of its count in each; null where it has none."""
+
+    def code(i: Column) -> Column:
+        return F.get(terms, F.get(ends, i))
+
+    def ln_count(i: Column) -> Column:
+        return F.log((F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(-1))).cast("double"))
+
+    def entry(end: Column, i: Column) -> Column:
+        here = code(i)
+        is_own, both = here.bitwiseAND(1) == 0, code(i + 1) == here + 1
+        own = F.struct(F.shiftright(here, 1).alias("term"), ln_count(i).alias("own"), F.when(both, ln_count(i + 1)).alias("edited"))
+        other = F.struct(F.shiftright(here, 1).alias("term"), F.lit(None).cast("double").alias("own"), ln_count(i).alias("edited"))
+        taken = F.coalesce(code(i - 1) == here - 1, F.lit(False))  # stands with the term's own run
+        return F.when(is_own, own).when(~taken, other)
+
+    return F.filter(F.transform(ends, entry), lambda x: x.isNotNull())
+
+
 def _uniforms(bits: Column) -> Column:
     """The product of two uniforms in (0, 1), from the halves of 64 bits."""
     scale = F.lit(float(2**-32))
@@ -35,16 +62,22 @@ def _uniforms(bits: Column) -> Column:
     return high * low
 
 
-def sample(term: Column, ln_weight: Column, number: Column) -> Column:
-    """ln a of sample `number` for a term: the smallest over a text's terms identifies the term and quantised weight drawn.
+def draws(term: Column, number: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and beta of sample `number` for a term: r and c are Gamma(2, 1), beta is uniform."""
+    first = F.xxhash64(term, number)
+    second = F.xxhash64(first)
+    r = -F.log(_uniforms(first))
+    ln_c = F.log(-F.log(_uniforms(second)))
+    return r, ln_c, F.shiftrightunsigned(F.xxhash64(second), 11).cast("double") * F.lit(float(2**-53))
+
+
+def sample(drawn: tuple[Column, Column, Column], ln_weight: Column) -> Column:
+    """ln a of a term's draws: the smallest over a text's terms identifies the term and quantised weight drawn.
 
-    r and c are Gamma(2, 1), beta is uniform, all functions of term and number. t = floor(ln S / r + beta),
-    ln y = r (t - beta), a = c / (y e^r). Texts draw the same (term, t), and so the same a, with a probability
-    equal to their generalised Jaccard similarity.
+    t = floor(ln S / r + beta), ln y = r (t - beta), a = c / (y e^r). Texts draw the same (term, t), and so
+    the same a, with a probability equal to their generalised Jaccard similarity.
     """
-    r = -F.log(_uniforms(F.xxhash64(term, number, F.lit(1))))
-    ln_c = F.log(-F.log(_uniforms(F.xxhash64(term, number, F.lit(2)))))
-    beta = F.shiftrightunsigned(F.xxhash64(term, number, F.lit(3)), 11).cast("double") * F.lit(float(2**-53))
+    r, ln_c, beta = drawn
     t = F.floor(ln_weight / r + beta).cast("double")
     return ln_c - r * (t - beta) - r
 
@@ -96,27 +129,29 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and samples array<int> (SAMPLES of them; null without terms), a row per distinct keys; rows must be dealt by keys."""
-    terms = rows.select(*keys, sorted_terms(F.col(text)).alias("__terms"))
+def signatures(rows: DataFrame, keys: list[str], text: str, edited: str) -> DataFrame:
+    """keys, own and edited array<int> (SAMPLES of them; null without terms), a row per distinct keys; rows must be dealt by keys.
+
+    A text and its edited form share most terms, so a term's draws are computed once for both.
+    """
+    terms = rows.select(*keys, sorted_terms(F.col(text), F.col(edited)).alias("__terms"))
     terms = terms.select(*keys, "__terms", _run_ends(F.col("__terms")).alias("__ends"))
-    weighed = F.transform(
-        "__ends",
-        lambda end, i: F.struct(
-            F.get(F.col("__terms"), end).alias("term"),
-            F.log((end - F.coalesce(F.get(F.col("__ends"), i - 1), F.lit(-1))).cast("double")).alias("ln"),
-        ),
+    each = terms.select(*keys, F.explode_outer(_weighed(F.col("__terms"), F.col("__ends"))).alias("__t"))
+    each = each.select(*keys, F.coalesce("__t.term", F.lit(0)).alias("__term"), F.col("__t.own").alias("__own"), F.col("__t.edited").alias("__edited"))
+    each = each.select("*", F.explode(F.array(*[F.lit(k * AT_ONCE) for k in range(SAMPLES // AT_ONCE)])).alias("__first"))
+    drawn = [draws(F.col("__term"), F.col("__first") + k) for k in range(AT_ONCE)]
+    least = each.groupBy(*keys, "__first").agg(
+        *[F.min(sample(d, F.col("__own"))).alias(f"__own{k}") for k, d in enumerate(drawn)],
+        *[F.min(sample(d, F.col("__edited"))).alias(f"__edited{k}") for k, d in enumerate(drawn)],
     )
-    each = terms.select(*keys, F.explode_outer(weighed).alias("__t"))
-    each = each.select(*keys, F.col("__t.term").isNull().alias("__none"), F.coalesce("__t.term", F.lit(0)).alias("__term"), F.coalesce("__t.ln", F.lit(0.0)).alias("__ln"))
-    turns = SAMPLES // AT_ONCE
-    each = each.select("*", F.explode(F.array(*[F.lit(k * AT_ONCE) for k in range(turns)])).alias("__first"))
-    drawn = [F.min(sample(F.col("__term"), F.col("__ln"), F.col("__first") + k)).alias(f"__s{k}") for k in range(AT_ONCE)]
-    least = each.groupBy(*keys, "__none", "__first").agg(*drawn)
-    one = F.struct("__first", F.array(*[F.hash(F.col(f"__s{k}")) for k in range(AT_ONCE)]).alias("s"))
-    whole = least.groupBy(*keys, "__none").agg(F.sort_array(F.collect_list(one)).alias("__all"))
-    joined = F.flatten(F.transform("__all", lambda x: x["s"]))
-    return whole.select(*keys, F.when(~F.col("__none"), joined).alias("samples"))
+    both = [F.array(*[F.hash(f"__{name}{k}") for k in range(AT_ONCE)]).alias(name) for name in ("own", "edited")]
+    some = [F.col(f"__{name}0").isNotNull().alias(f"any_{name}") for name in ("own", "edited")]
+    all_of = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__first", *both, *some))).alias("__all"))
+
+    def joined(name: str) -> Column:
+        return F.when(F.col("__all")[0][f"any_{name}"], F.flatten(F.transform("__all", lambda x: x[name]))).alias(name)
+
+    return all_of.select(*keys, joined("own"), joined("edited"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,15 +175,12 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     rows = in_order(docs, text, key)
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
-    keys = ["part", "place", "doc_id", "n_chars", "edited_sha256", "next_part", "next_place", "which"]
-    rows = rows.select("part", "place", "doc_id", n.cast("long").alias("n_chars"), "next_part", "next_place", "text", edited.alias("edited"))
-    rows = rows.select("*", F.sha2("edited", 256).alias("edited_sha256"))
-    rows = rows.select(*[k for k in keys if k != "which"], F.posexplode(F.array("text", "edited")).alias("which", "__text"))
-    found = written(signatures(rows, keys, "__text"), "weighted-samples")
-    own = found.where("which = 0").select(*[k for k in keys if k != "which"], F.col("samples").alias("own"))
-    other = found.where("which = 1").select("part", "place", F.col("samples").alias("edited"))
-    following = found.where("which = 0").select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("samples").alias("following"))
-    joined = own.join(other, ["part", "place"]).join(following, ["next_part", "next_place"])
+    keys = ["part", "place", "doc_id", "n_chars", "edited_sha256", "next_part", "next_place"]
+    rows = rows.select("part", "place", "doc_id", n.cast("long").alias("n_chars"), "next_part", "next_place", "text", edited.alias("edited_text"))
+    rows = rows.select("*", F.sha2("edited_text", 256).alias("edited_sha256"))
+    found = written(signatures(rows, keys, "text", "edited_text"), "weighted-samples")
+    following = found.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("own").alias("following"))
+    joined = found.join(following, ["next_part", "next_place"])
     return joined.select(
         "doc_id",
         "n_chars",

@@ -1,11 +1,13 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sketchwright.llm import bpe, exact_dedup, fingerprint, license_scan, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity
@@ -331,6 +333,43 @@ def test_fingerprints(docs, rows, none):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_fingerprints_follow_the_samples(spark):
+    """Each sample drawn again in plain Python: likeness is the share of samples that chose the same word and quantised weight."""
+    mask = (1 << 64) - 1
+
+    def hashed(n, seed=42, size=8):
+        return xxhash.xxh64_intdigest((n & (1 << 8 * size) - 1).to_bytes(size, "little"), seed)
+
+    def gamma(bits):
+        return -math.log((((bits >> 32) + 0.5) / 2**32) * (((bits & 0xFFFFFFFF) + 0.5) / 2**32))
+
+    def drawn(text):
+        counts, out = Counter(split(text)), []
+        for number in range(fingerprint.SAMPLES):
+            found = []
+            for w, n in counts.items():
+                term = xxhash.xxh64_intdigest(w.encode(), 42) << 1 & mask
+                term = (term if term < 1 << 63 else term - (1 << 64)) >> 1
+                first = hashed(number, hashed(term), 4)
+                second = hashed(first)
+                r, beta = gamma(first), (hashed(second) >> 11) / 2**53
+                t = math.floor(math.log(n) / r + beta)
+                found.append((math.log(gamma(second)) - r * (t - beta) - r, w, t))
+            out.append(min(found)[1:])
+        return out
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randint(30, 60))) for _ in range(12)]
+    found = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        following = texts[i - 1]
+        k = len(t) // 3
+        own, edited, after = drawn(t), drawn(t[: len(t) - k] + following[:k]), drawn(following)
+        assert found[i].near_edited == sum(a == b for a, b in zip(own, edited)) / fingerprint.SAMPLES
+        assert found[i].near_next == sum(a == b for a, b in zip(own, after)) / fingerprint.SAMPLES
+        assert len(found[i].fingerprint) == 8 * fingerprint.SAMPLES and found[i].fingerprint != found[i].edited_fingerprint
+
+
 def test_fingerprints_in_many_ranges(docs, monkeypatch):
     whole = Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprint.fingerprints(docs).collect())
     monkeypatch.setattr(fingerprint, "RANGE_UNITS", 4)
