@@ -21,7 +21,7 @@ COLUMNS = {
     "op5_toxicity": "doc_id held_out score predicted",
     "op6_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
-    "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_spans",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
