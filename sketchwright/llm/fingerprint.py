@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +13,20 @@ from .common import SPACES, plain_text, splitters, whole, with_range, written
 SAMPLES, AT_ONCE = 64, 8
 #: Units of a range in which the next document is looked up, at least and at most; a text has one for each UNIT bytes begun.
 RANGE_UNITS, MOST_UNITS, UNIT = 1000, 32_000, 8192
+#: A draw is worked out only if its ln a can be under ln(LIMIT / words of the text). The least of a text's draws has an
+#: exponential distribution with the rate words, so it is above that with probability e^-24; then all its draws are worked out.
+LIMIT = 24.0
 #: Ranges up to which their heads are broadcast (20 MB); beyond, they are met by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def sorted_terms(own: Column, edited: Column) -> Column:
-    """array<long>: of each word of both texts the low 63 bits of its XXH64, and in the last bit whether it is the edited text's; ascending.
+def hashed_words(text: Column, mark: int) -> Column:
+    """array<long>: of each word the low 63 bits of its XXH64, and in the last bit the mark: 0 for a text, 1 for its edited form.
 
-    So the occurrences of a word in one text stand together, those in the other next to them.
+    Sorted together, the occurrences of a word in one text stand together, those in the other next to them.
     """
-
-    def marked(text: Column, mark: int) -> Column:
-        words = F.array_remove(F.split(text, SPACES), "")
-        return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(mark).cast("long")))
-
-    return F.sort_array(F.concat(marked(own, 0), marked(edited, 1)))
+    words = F.array_remove(F.split(text, SPACES), "")
+    return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(mark).cast("long")))
 
 
 def _run_ends(terms: Column) -> Column:
@@ -35,19 +36,19 @@ def _run_ends(terms: Column) -> Column:
 
 
 def _weighed(terms: Column, ends: Column) -> Column:
-    """array<struct<term, own, edited>>: each term of either text once, with the logarithm of its count in each; null where it has none."""
+    """array<struct<term, own, edited>>: each term of either text once, with its count in each; null where it has none."""
 
     def code(i: Column) -> Column:
         return F.get(terms, F.get(ends, i))
 
-    def ln_count(i: Column) -> Column:
-        return F.log((F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(-1))).cast("double"))
+    def count(i: Column) -> Column:
+        return F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(-1))
 
     def entry(end: Column, i: Column) -> Column:
         here = code(i)
         is_own, both = here.bitwiseAND(1) == 0, code(i + 1) == here + 1
-        own = F.struct(F.shiftright(here, 1).alias("term"), ln_count(i).alias("own"), F.when(both, ln_count(i + 1)).alias("edited"))
-        other = F.struct(F.shiftright(here, 1).alias("term"), F.lit(None).cast("double").alias("own"), ln_count(i).alias("edited"))
+        own = F.struct(F.shiftright(here, 1).alias("term"), count(i).alias("own"), F.when(both, count(i + 1)).alias("edited"))
+        other = F.struct(F.shiftright(here, 1).alias("term"), F.lit(None).cast("int").alias("own"), count(i).alias("edited"))
         taken = F.coalesce(code(i - 1) == here - 1, F.lit(False))  # stands with the term's own run
         return F.when(is_own, own).when(~taken, other)
 
@@ -62,16 +63,26 @@ def _uniforms(bits: Column) -> Column:
     return high * low
 
 
+def _hashes(term: Column, number: Column) -> tuple[Column, Column]:
+    first = F.xxhash64(term, number)
+    return first, F.xxhash64(first)
+
+
 def draws(term: Column, number: Column) -> tuple[Column, Column, Column]:
     """r, ln c and beta of sample `number` for a term: r and c are Gamma(2, 1), beta is uniform."""
-    first = F.xxhash64(term, number)
-    second = F.xxhash64(first)
+    first, second = _hashes(term, number)
     r = -F.log(_uniforms(first))
     ln_c = F.log(-F.log(_uniforms(second)))
     return r, ln_c, F.shiftrightunsigned(F.xxhash64(second), 11).cast("double") * F.lit(float(2**-53))
 
 
-def sample(drawn: tuple[Column, Column, Column], ln_weight: Column) -> Column:
+def possible(term: Column, number: Column, bound: Column) -> Column:
+    """False only for draws with a > bound / weight: a >= c e^-r / weight, where e^-r = p and c = -ln q >= 2 (1 - q) / (1 + q) are had without logarithms."""
+    p, q = map(_uniforms, _hashes(term, number))
+    return (F.lit(1.0) - q) * (p + p) <= (F.lit(1.0) + q) * bound
+
+
+def sample(drawn: Sequence[Column], ln_weight: Column) -> Column:
     """ln a of a term's draws: the smallest over a text's terms identifies the term and quantised weight drawn.
 
     t = floor(ln S / r + beta), ln y = r (t - beta), a = c / (y e^r). Texts draw the same (term, t), and so
@@ -129,29 +140,72 @@ def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, edited: str) -> DataFrame:
-    """keys, own and edited array<int> (SAMPLES of them; null without terms), a row per distinct keys; rows must be dealt by keys.
+def counted_terms(rows: DataFrame, keys: list[str], text: str, edited: str) -> DataFrame:
+    """keys, __n_own, __n_edited (words of the two texts), __term, __own, __edited (its counts in them); a row a distinct term of either.
 
-    A text and its edited form share most terms, so a term's draws are computed once for both.
+    Where neither has words, one row with null counts.
     """
-    terms = rows.select(*keys, sorted_terms(F.col(text), F.col(edited)).alias("__terms"))
-    terms = terms.select(*keys, "__terms", _run_ends(F.col("__terms")).alias("__ends"))
-    each = terms.select(*keys, F.explode_outer(_weighed(F.col("__terms"), F.col("__ends"))).alias("__t"))
-    each = each.select(*keys, F.coalesce("__t.term", F.lit(0)).alias("__term"), F.col("__t.own").alias("__own"), F.col("__t.edited").alias("__edited"))
+    words = rows.select(*keys, hashed_words(F.col(text), 0).alias("__a"), hashed_words(F.col(edited), 1).alias("__b"))
+    sizes = [F.size("__a").alias("__n_own"), F.size("__b").alias("__n_edited")]
+    terms = words.select(*keys, *sizes, F.sort_array(F.concat("__a", "__b")).alias("__terms"))
+    terms = terms.select(*keys, "__n_own", "__n_edited", "__terms", _run_ends(F.col("__terms")).alias("__ends"))
+    each = terms.select(*keys, "__n_own", "__n_edited", F.explode_outer(_weighed(F.col("__terms"), F.col("__ends"))).alias("__t"))
+    return each.select(*keys, "__n_own", "__n_edited", F.coalesce("__t.term", F.lit(0)).alias("__term"), F.col("__t.own").alias("__own"), F.col("__t.edited").alias("__edited"))
+
+
+def signatures(rows: DataFrame, keys: list[str], text: str, edited: str, limit: float | None) -> DataFrame:
+    """keys, own and edited array<int> (SAMPLES of them; null without terms), settled; a row per distinct keys; rows must be dealt by keys.
+
+    A text and its edited form share most terms, so a term's hashes are computed once for both. With a limit, draws
+    that cannot be the least are left out by a bound; where the least found is not under the limit, so that a draw
+    left out might be smaller, settled is false and the arrays mean nothing. Without one, all draws are worked out.
+    """
+    each = counted_terms(rows, keys, text, edited)
+    sides = ("own", "edited")
+    columns = [F.log(F.col(f"__{n}").cast("double")).alias(f"__ln_{n}") for n in sides]
+    shares = [F.col(f"__{n}") / F.greatest(F.col(f"__n_{n}"), F.lit(1)) for n in sides]
+    bound = F.coalesce(F.greatest(*shares), F.lit(0.0)) * F.lit(limit or 0.0)
+    each = each.select(*keys, "__n_own", "__n_edited", "__term", *columns, bound.alias("__bound"))
     each = each.select("*", F.explode(F.array(*[F.lit(k * AT_ONCE) for k in range(SAMPLES // AT_ONCE)])).alias("__first"))
-    drawn = [draws(F.col("__term"), F.col("__first") + k) for k in range(AT_ONCE)]
-    least = each.groupBy(*keys, "__first").agg(
-        *[F.min(sample(d, F.col("__own"))).alias(f"__own{k}") for k, d in enumerate(drawn)],
-        *[F.min(sample(d, F.col("__edited"))).alias(f"__edited{k}") for k, d in enumerate(drawn)],
-    )
-    both = [F.array(*[F.hash(f"__{name}{k}") for k in range(AT_ONCE)]).alias(name) for name in ("own", "edited")]
-    some = [F.col(f"__{name}0").isNotNull().alias(f"any_{name}") for name in ("own", "edited")]
-    all_of = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__first", *both, *some))).alias("__all"))
+
+    def drawn(k: int) -> list[Column]:
+        term, number = F.col("__term"), F.col("__first") + k
+        # the same three columns serve both texts, so they are worked out once
+        return [d if limit is None else F.when(possible(term, number, F.col("__bound")), d) for d in draws(term, number)]
+
+    def least(name: str, k: int) -> Column:
+        return F.min(sample(drawn(k), F.col(f"__ln_{name}"))).alias(f"__{name}{k}")
+
+    counts = [F.max(f"__n_{n}").alias(f"__n_{n}") for n in sides]
+    found = each.groupBy(*keys, "__first").agg(*counts, *[least(n, k) for n in sides for k in range(AT_ONCE)])
+
+    def under(name: str) -> Column:
+        if limit is None:
+            return F.lit(True)
+        # a hair under the bound, whose arithmetic is rounded
+        largest = F.greatest(*[F.coalesce(F.col(f"__{name}{k}"), F.lit(float("inf"))) for k in range(AT_ONCE)])
+        return (F.col(f"__n_{name}") == 0) | (largest <= F.log(F.lit(limit * 0.999) / F.greatest(F.col(f"__n_{name}"), F.lit(1))))
+
+    both = [F.array(*[F.hash(f"__{name}{k}") for k in range(AT_ONCE)]).alias(name) for name in sides]
+    some = [(F.col(f"__n_{name}") > 0).alias(f"any_{name}") for name in sides]
+    settled = (under("own") & under("edited")).alias("settled")
+    all_of = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__first", *both, *some, settled))).alias("__all"))
 
     def joined(name: str) -> Column:
         return F.when(F.col("__all")[0][f"any_{name}"], F.flatten(F.transform("__all", lambda x: x[name]))).alias(name)
 
-    return all_of.select(*keys, joined("own"), joined("edited"))
+    return all_of.select(*keys, joined("own"), joined("edited"), F.forall("__all", lambda x: x["settled"]).alias("settled"))
+
+
+def full_signatures(rows: DataFrame, keys: list[str], text: str, edited: str) -> DataFrame:
+    """keys, own, edited as `signatures` without a limit gives them, as a written table: the few texts that a limit leaves unsettled are sampled again."""
+    found = written(signatures(rows, keys, text, edited, LIMIT), "weighted-samples")
+    left = found.where(~F.col("settled")).select("part", "place")
+    done = found.where("settled").drop("settled")
+    if left.isEmpty():
+        return done
+    again = signatures(rows.join(left, ["part", "place"], "left_semi"), keys, text, edited, None)
+    return done.unionByName(written(again.drop("settled"), "weighted-samples-in-full"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -178,7 +232,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     keys = ["part", "place", "doc_id", "n_chars", "edited_sha256", "next_part", "next_place"]
     rows = rows.select("part", "place", "doc_id", n.cast("long").alias("n_chars"), "next_part", "next_place", "text", edited.alias("edited_text"))
     rows = rows.select("*", F.sha2("edited_text", 256).alias("edited_sha256"))
-    found = written(signatures(rows, keys, "text", "edited_text"), "weighted-samples")
+    found = full_signatures(rows, keys, "text", "edited_text")
     following = found.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("own").alias("following"))
     joined = found.join(following, ["next_part", "next_place"])
     return joined.select(

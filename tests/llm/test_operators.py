@@ -370,6 +370,19 @@ def test_fingerprints_follow_the_samples(spark):
         assert len(found[i].fingerprint) == 8 * fingerprint.SAMPLES and found[i].fingerprint != found[i].edited_fingerprint
 
 
+def test_fingerprints_do_not_hang_on_the_limit(docs, monkeypatch):
+    """Low limits leave texts unsettled, which are sampled in full: the results are those without a bound."""
+    whole = Counter(fingerprint.fingerprints(docs).collect())
+    for limit in (0.5, 4.0):
+        monkeypatch.setattr(fingerprint, "LIMIT", limit)
+        assert Counter(fingerprint.fingerprints(docs).collect()) == whole
+    rows = fingerprint.in_order(docs).select("part", "place", "text", F.col("next_text").alias("other"))
+    bounded = fingerprint.signatures(rows, ["part", "place"], "text", "other", 4.0)
+    assert 0 < bounded.where("settled").count() < rows.count()
+    full = fingerprint.signatures(rows, ["part", "place"], "text", "other", None)
+    assert bounded.where("settled").exceptAll(full).isEmpty()
+
+
 def test_fingerprints_in_many_ranges(docs, monkeypatch):
     whole = Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprint.fingerprints(docs).collect())
     monkeypatch.setattr(fingerprint, "RANGE_UNITS", 4)
