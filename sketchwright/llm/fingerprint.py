@@ -229,10 +229,17 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     rows = in_order(docs, text, key)
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
-    keys = ["part", "place", "doc_id", "n_chars", "edited_sha256", "next_part", "next_place"]
-    rows = rows.select("part", "place", "doc_id", n.cast("long").alias("n_chars"), "next_part", "next_place", "text", edited.alias("edited_text"))
-    rows = rows.select("*", F.sha2("edited_text", 256).alias("edited_sha256"))
+    # every generated row hashes the keys, so they are few bytes: the digest's own, and the next range only in a range's last row
+    keys = ["part", "place", "doc_id", "n_chars", "digest", "turn"]
+    turn = F.when((F.col("next_part") != F.col("part")) | (F.col("next_place") != F.col("place") + 1), F.col("next_part"))
+    rows = rows.select("part", "place", "doc_id", n.cast("long").alias("n_chars"), turn.alias("turn"), "text", edited.alias("edited_text"))
+    rows = rows.select("*", F.unhex(F.sha2("edited_text", 256)).alias("digest"))
     found = full_signatures(rows, keys, "text", "edited_text")
+    found = found.withColumns({
+        "edited_sha256": F.lower(F.hex("digest")),
+        "next_part": F.coalesce("turn", "part"),
+        "next_place": F.when(F.col("turn").isNull(), F.col("place") + 1).otherwise(F.lit(1)),
+    })
     following = found.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("own").alias("following"))
     joined = found.join(following, ["next_part", "next_place"])
     return joined.select(
