@@ -21,7 +21,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: What SPLIT comes to on ASCII texts.
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Words kept in a worker's memory, and the longest one kept; states of the transducer kept (about 1 KB each).
-CACHED_WORDS, CACHED_CHARS, KEPT_STATES = 400_000, 48, 400_000
+CACHED_WORDS, CACHED_CHARS, KEPT_STATES = 400_000, 48, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
