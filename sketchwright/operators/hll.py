@@ -115,20 +115,24 @@ def to_binary(state: DataFrame, by: Sequence[str] = (), bits: int = 8) -> DataFr
     return groups.select(*by, pack("lg_k", F.col("__r.slot"), F.col("__r.value")).alias("sketch"))
 
 
-def linear_estimate(lg_k: int, hit: int) -> float:
-    """How many keys hit so many of 2^lg_k slots, on average: k (1/k + 1/(k-1) + ... + 1/(k-hit+1)); with all hit, k ln 2k."""
-    k = 1 << lg_k
-    if hit >= k:
-        return k * math.log(2 * k)
+def keys_until(lg_k: int, hit: int) -> float:
+    """How many keys hit so many of 2^lg_k slots, on average: k (1/k + 1/(k-1) + ... + 1/(k-hit+1))."""
 
     def harmonic(n: int) -> float:
         if n < 32:
             return math.fsum(1 / i for i in range(1, n + 1))
-        return math.log(n) + np.euler_gamma + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+        return math.log(n) + np.euler_gamma + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4) - 1 / (252 * n**6)
 
+    k = 1 << lg_k
     return k * (harmonic(k) - harmonic(k - hit))
 
 
+def linear_estimate(lg_k: int, hit: int) -> float:
+    """keys_until; with all slots hit, k ln 2k."""
+    k = 1 << lg_k
+    return k * math.log(2 * k) if hit >= k else keys_until(lg_k, hit)
+
+
 def _composite(rounded: int, lg_k: int, hit: int) -> float:
     """The composite estimate from Spark's, which is rounded: where that is the linear one, the linear one unrounded."""
     linear = linear_estimate(lg_k, hit)
@@ -153,6 +157,18 @@ def bounds(state: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> Da
     return found.withColumn("__b", run("__rounded", "lg_k", "hit")).select(*by, "__b.lower", "__b.estimate", "__b.upper")
 
 
+def linear_bounds(state: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """lower, estimate and upper from the slots hit alone, whatever their number: how many keys hit as many on average, 0 for none.
+    The errors are those of bounds(). They hold while many slots are empty; with few or none left, bounds() is nearer."""
+    check_deviations(num_std_dev)
+
+    @F.pandas_udf("lower double, estimate double, upper double")
+    def run(lg: pd.Series, hit: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_bounds(keys_until(int(k), int(h)), int(k), int(h), False, num_std_dev) if h > 0 else (0.0,) * 3 for k, h in zip(lg, hit)], columns=["lower", "estimate", "upper"])
+
+    return facts(state, by).withColumn("__b", run("lg_k", "hit")).select(*by, "__b.lower", "__b.estimate", "__b.upper")
+
+
 def _bounds(value: float, lg_k: int, hit: int, hip: bool, num_std_dev: int) -> tuple[float, float, float]:
     low, high = (hll_error(lg_k, num_std_dev, upper, hip) for upper in (False, True))
     return max(value / (1 + low), float(hit)), value, value / (1 + high)

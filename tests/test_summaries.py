@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sketchwright.errors import SketchArgumentError, SketchDataError
 from sketchwright.functions import bounds, hashing
 from sketchwright.functions.coupons import distinct_for, expected_coupons
+from sketchwright.functions.relative_errors import hll_error
 from sketchwright.operators import bloom, countmin, cpc, frequent, hll, tdigest, theta, tuples
+from sketchwright.plans import queries
 from sketchwright.plans.rollup import SketchTable
 from sketchwright.sources import codecs, tables
 from sketchwright.streaming import rollups
@@ -264,6 +266,21 @@ def test_hll_small_summaries_keep_their_coupons(spark):
     assert one(hll.estimate(state)).estimate == pytest.approx(100, abs=4) and one(hll.estimate(state)).estimate % 1 > 0
 
 
+def test_hll_linear_counts_empty_slots_however_few(spark, tmp_path):
+    keys = {"few": 1_000, "many": 200_000, "all": 600_000}  # of the last, no slot of 32768 stays empty
+    rows = spark.range(600_000).select(F.col("id").alias("c_custkey"), F.explode(F.array(*map(F.lit, keys))).alias("c_mktsegment"))
+    rows.where(F.col("c_custkey") < F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])[F.col("c_mktsegment")]).write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r.c_mktsegment: r for r in queries.hll_linear(spark, str(tmp_path)).collect()}
+    hit = {r.c_mktsegment: r.hit for r in hll.facts(hll.build(spark.read.parquet(f"{tmp_path}/customer.parquet"), "c_custkey", ["c_mktsegment"], lg_k=15), ["c_mktsegment"]).collect()}
+    assert hit["few"] < 1_000 and 32_000 < hit["many"] < hit["all"] == 32768
+    for g, h in hit.items():
+        want = 32768 * math.fsum(1 / i for i in range(32768 - h + 1, 32769))
+        assert found[g].estimate == pytest.approx(want, rel=1e-12)
+        assert found[g].lower == pytest.approx(max(h, want / (1 + hll_error(15, 2, False))), rel=1e-12)
+        assert found[g].upper == pytest.approx(want / (1 + hll_error(15, 2, True)), rel=1e-12)
+    assert tuple(one(hll.linear_bounds(hll.build(spark.range(0), "id")))) == (0, 0, 0)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 300])
 def test_hll_coupon_bytes_are_read_by_the_built_in(spark, n):
     rows = hll.coupons(spark.range(n), "id")
