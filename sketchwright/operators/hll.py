@@ -204,7 +204,7 @@ def read(states: DataFrame, num_std_dev: int = 2, by: Sequence[str] = ()) -> Dat
         for v, r in zip(stored, rounded):
             s = codecs.decode_hll(bytes(v))
             if s.registers is None:
-                found = _coupon_bounds(len(s.coupons), num_std_dev)
+                found = _coupon_bounds(len(s.packed), num_std_dev)
             else:
                 hit = int(np.count_nonzero(s.registers))
                 value = _composite(int(r), s.lg_k, hit) if s.merged else s.hip

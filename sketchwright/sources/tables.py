@@ -57,9 +57,7 @@ def hll_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = (
         for v in values:
             s = codecs.decode_hll(bytes(v))
             registers = s.registers if s.registers is not None else np.zeros(1 << s.lg_k, np.uint8)
-            for slot, value in s.coupons:
-                at = slot & ((1 << s.lg_k) - 1)
-                registers[at] = max(registers[at], value)
+            np.maximum.at(registers, s.packed & (1 << s.lg_k) - 1, (s.packed >> 26).astype(np.uint8))
             hit = np.flatnonzero(registers)
             rows.append((s.lg_k, hit.tolist(), registers[hit].astype(int).tolist()))
         return pd.DataFrame(rows, columns=["lg_k", "slots", "registers"])
@@ -70,25 +68,28 @@ def hll_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = (
 
 
 def hll_coupons_to_binary(rows: DataFrame, by: Sequence[str] = (), lg_k: int = 12) -> DataFrame:
-    """by, sketch BINARY of small groups' coupons (slot26, value), kept one by one as a list or a set."""
+    """by, sketch BINARY of small groups' coupons (slot26, value), kept one by one as a list or a set. Larger groups take
+    4 bytes a coupon: they meet Python as arrays of packed coupons, never as objects."""
 
     @F.pandas_udf("binary")
-    def pack(slots: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([codecs.encode_hll_coupons([(int(a), int(b)) for a, b in zip(s, v)], lg_k) for s, v in zip(slots, values)])
+    def pack(coupons: pd.Series) -> pd.Series:
+        return pd.Series([codecs.encode_hll_packed(np.asarray(c, np.int32).view(np.uint32), lg_k) for c in coupons])
 
-    groups = rows.groupBy(*by).agg(F.collect_set(F.struct("slot26", "value")).alias("c"))
-    return groups.select(*by, pack("c.slot26", "c.value").alias("sketch"))
+    fits = F.col("slot26").between(0, (1 << 26) - 1) & F.col("value").between(0, 63)
+    coupon = F.when(fits, F.shiftleft(F.col("value").cast("int"), 26).bitwiseOR(F.col("slot26").cast("int"))).otherwise(F.raise_error(F.lit("a coupon is out of range")))
+    groups = rows.select(*by, coupon.alias("__c")).distinct().groupBy(*by).agg(F.collect_list("__c").alias("__c"))
+    return groups.select(*by, pack("__c").alias("sketch"))
 
 
 def hll_coupons_from_binary(df: DataFrame, sketch: str = "sketch", by: Sequence[str] = ()) -> DataFrame:
     """by, slot26, value of stored lists and sets; summaries that have registers by now have no coupons."""
 
-    @F.pandas_udf("array<struct<slot26: int, value: int>>")
-    def unpack(values: pd.Series) -> pd.Series:
-        return pd.Series([[{"slot26": a, "value": b} for a, b in codecs.decode_hll(bytes(v)).coupons] for v in values])
+    @F.pandas_udf("array<int>")
+    def unpack(values: pd.Series) -> pd.Series:  # takes nulls: a filter would be pushed below what makes the bytes, which would make them twice
+        return pd.Series([None if v is None else codecs.decode_hll(bytes(v)).packed.view(np.int32) for v in values], dtype=object)
 
-    rows = df.where(F.col(sketch).isNotNull()).select(*by, F.explode(unpack(sketch)).alias("c"))
-    return rows.select(*by, "c.slot26", "c.value")
+    rows = df.select(*by, F.explode(unpack(sketch)).alias("__c"))
+    return rows.select(*by, F.col("__c").bitwiseAND((1 << 26) - 1).alias("slot26"), F.shiftrightunsigned("__c", 26).alias("value"))
 
 
 def tuple_to_binary(state: DataFrame, kind: str, by: Sequence[str] = (), seed: int = DEFAULT_SEED) -> DataFrame:

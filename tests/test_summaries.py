@@ -1,7 +1,9 @@
 """The summaries against exact answers, algebraic laws, and Spark's own functions."""
 
 import math
+import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -289,6 +291,27 @@ def test_hll_coupon_bytes_are_read_by_the_built_in(spark, n):
     assert sorted(tables.hll_coupons_from_binary(stored).collect()) == sorted(rows.distinct().collect())
 
 
+def test_hll_coupons_of_large_groups_stay_packed(spark, capsys):
+    rows = hll.coupons(spark.range(50_000), "id")
+    stored = tables.hll_coupons_to_binary(rows.unionByName(rows))
+    data, want = bytes(one(stored).sketch), sorted(rows.distinct().collect())
+    tracemalloc.start()
+    found = codecs.decode_hll(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) == 12 + 4 * len(want) and peak < 20 * len(want)
+    assert sorted(found.coupons) == want and codecs.encode_hll_coupons(found.coupons * 2, 12) == data
+    back = tables.hll_coupons_from_binary(stored.unionByName(spark.createDataFrame([(None,)], "sketch binary")))
+    assert sorted(back.collect()) == want
+    tables.hll_coupons_from_binary(stored).explain()
+    assert len(re.findall(r"\bpack\(", capsys.readouterr().out)) == 1  # the bytes are made once
+    state = hll.build(spark.range(50_000), "id", lg_k=12)
+    assert sorted(tables.hll_from_binary(stored).select(state.columns).collect()) == sorted(state.collect())
+    for bad in ((1 << 26, 1), (1, 64), (None, 1)):
+        with pytest.raises(Exception, match="out of range"):
+            tables.hll_coupons_to_binary(spark.createDataFrame([bad], "slot26 int, value int")).collect()
+
+
 def test_coupon_estimates():
     for n in (1, 10, 1000, 1e6):
         assert distinct_for(11, round(expected_coupons(11, n))) == pytest.approx(n, rel=0.05 if n < 100 else 0.01, abs=0.6)
