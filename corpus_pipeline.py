@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and the digests of ids and decoded text."""
-    return bpe.tokens(docs, vocabulary_path(), keep=("doc_id", "source"))
+    return bpe.tokens(docs, vocabulary_path(), keep=("doc_id", "source"), forget=True)
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,8 +21,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: What SPLIT comes to on ASCII texts.
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Words kept in a worker's memory, and the longest one kept; states of the transducer kept (about 1 KB each).
-CACHED_WORDS, CACHED_CHARS, KEPT_STATES = 400_000, 48, 200_000
+#: Words kept in a worker's memory, and the longest one kept; states of the transducer kept (about 0.7 KB each).
+CACHED_WORDS, CACHED_CHARS, KEPT_STATES = 200_000, 48, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,7 +55,7 @@ class Automaton:
                 self.made.pop(i)  # until a gadget makes its arcs
         for moment, (u, v) in enumerate(merges):
             self._gadget(moment, tokens[u], tokens[v], tokens[u + v])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}  # by state << 32 | token
 
     def _gadget(self, moment: int, u: int, v: int, w: int) -> None:
         if u not in self.made or v not in self.made or not self._derive(u, v, moment):
@@ -65,9 +66,9 @@ class Automaton:
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the finished automaton reads token in the state after `state`."""
-        known = self.table.get((state, token))
+        known = self.table.get(state << 32 | token)
         if known is None:
-            known = self.table[state, token] = self._derive(state, token, 1 << 60)
+            known = self.table[state << 32 | token] = self._derive(state, token, 1 << 60)
         return known
 
     def _derive(self, state: int, token: int, end: int) -> bool:
@@ -98,6 +99,8 @@ class Transducer:
     state has an arc for, that is the last token of the prefix: the transition's label. Such sets are numbered
     and transitions tabled when they first occur; past KEPT_STATES the table starts anew. So a byte costs one
     look-up, or at first sight a step for each open piece; and reading a word of any length is linear.
+
+    A state's pieces are kept as one bytes object.
     """
 
     def __init__(self, automaton: Automaton):
@@ -117,27 +120,28 @@ class Transducer:
             self.spelt[node] = token
         self.inner = {key >> 8 for key in self.next_node}
         self.length = {token: len(name) for token, name in automaton.label.items()}
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.table: dict[int, tuple[int, int]] = {}
-        self.pieces: list[tuple[int, ...]] = []
-        self.number: dict[tuple[int, ...], int] = {}
+        self.pieces: list[bytes] = []
+        self.number: dict[bytes, int] = {}
         self.automaton.table.clear()
-        self._numbered((0,))  # nothing read: state 0, at the trie's root
+        self._numbered([0])  # nothing read: state 0, at the trie's root
 
-    def _numbered(self, pieces: tuple[int, ...]) -> int:
-        n = self.number.get(pieces)
+    def _numbered(self, pieces: list[int]) -> int:
+        packed = array("q", pieces).tobytes()
+        n = self.number.get(packed)
         if n is None:
-            n = self.number[pieces] = len(self.pieces)
-            self.pieces.append(pieces)
+            n = self.number[packed] = len(self.pieces)
+            self.pieces.append(packed)
         return n
 
     def _transition(self, state: int, byte: int) -> tuple[int, int]:
         """The next state, and the last token of the prefix read. A piece is (token + 1) << 32 | node."""
         pieces, label = [], -1
         arc = self.automaton.arc
-        for piece in self.pieces[state]:
+        for piece in array("q", self.pieces[state]):
             node = self.next_node.get((piece & 0xFFFFFFFF) << 8 | byte)
             if node is None:
                 continue
@@ -149,9 +153,9 @@ class Transducer:
         if label >= 0:
             pieces.append(label + 1 << 32)
         if len(self.pieces) >= KEPT_STATES:
-            self._clear()
-            return self._numbered(tuple(pieces)), label  # not tabled: `state` has lost its number
-        found = self.table[state << 8 | byte] = self._numbered(tuple(pieces)), label
+            self.clear()
+            return self._numbered(pieces), label  # not tabled: `state` has lost its number
+        found = self.table[state << 8 | byte] = self._numbered(pieces), label
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -170,16 +174,20 @@ class Transducer:
 
 
 class _Words(dict):
-    """The ids of words seen, encoded when first asked for; emptied when full, so its size is bounded."""
+    """The ids of words seen, encoded when first asked for. When half full it is put aside, and what is asked for again comes back; so its size is bounded."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.aside: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode(word.encode("utf-8")))
+        ids = self.aside.get(word)
+        if ids is None:
+            ids = tuple(self.transducer.encode(word.encode("utf-8")))
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_WORDS // 2:
+                self.aside = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -221,6 +229,12 @@ class Codec:
         words = (self.ascii_split if text.isascii() else self.split)(text)
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
+    def forget(self) -> None:
+        """Drops the words and the transducer's states, which come again as they occur. The compiled automaton stays."""
+        self.known.clear()
+        self.known.aside = {}
+        self.known.transducer.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other."""
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
@@ -243,12 +257,13 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, forget: bool = False) -> DataFrame:
     """The columns `keep`, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int>; a row per row of docs.
 
     path: a byte-level BPE file on the driver; its content (a fixed file of a few MB) is broadcast.
     Null text counts as empty: no ids. Each text is encoded whole, and decoded again from its ids. Repeated
-    rows stay rows, empty docs give none; columns outside `keep` are not read.
+    rows stay rows, empty docs give none; columns outside `keep` are not read. forget: each task drops its words and
+    states when it ends, so workers that go on to serve other stages don't hold them; without it the next task finds them.
     """
     (held_text,) = fresh(docs, "text")
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -258,21 +273,25 @@ def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(content.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                counts, digests, decoded, held = [], [], [], []
-                for t in part.column(part.num_columns - 1):
-                    ids = codec.encode(t.as_py())
-                    array = np.array(ids, dtype="<u4")
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(array.tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    counts, digests, decoded, held = [], [], [], []
+                    for t in part.column(part.num_columns - 1):
+                        ids = codec.encode(t.as_py())
+                        words = np.array(ids, dtype="<u4")
+                        counts.append(len(ids))
+                        digests.append(hashlib.sha256(words.tobytes()).hexdigest())
+                        decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+                        if with_ids:
+                            held.append(words.astype(np.int32))
+                    columns = [*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                     if with_ids:
-                        held.append(array.astype(np.int32))
-                columns = [*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                if with_ids:
-                    columns.append(pa.array(held, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                        columns.append(pa.array(held, pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        finally:
+            if forget:
+                codec.forget()
 
     return slim.mapInArrow(run, fields)

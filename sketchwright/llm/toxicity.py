@@ -16,6 +16,8 @@ from .common import fresh, plain_text, written
 
 #: At most so many labelled rows are used to learn: those of the smallest hashes.
 TRAIN_ROWS = 20_000
+#: Words that a lexicon keeps, and patterns counted before they are handed on.
+KEPT_WORDS = 100_000
 #: Lengths of the prefixes that insult patterns may be, besides whole words.
 PREFIXES = range(4, 10)
 
@@ -156,7 +158,7 @@ class Lexicon(dict):
             weight = max([get(word, 0.0), *(get(word[:n] + "*", 0.0) for n in PREFIXES if n < len(word))])
             kind = self.closed.get(word, OTHER)
             found = (THREAT, max(1.0, weight)) if kind == THREAT else (kind, 0.0) if kind != OTHER else (INSULT, weight) if weight > 0 else (OTHER, 0.0)
-        if len(self) > 300_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = found
         return found
@@ -233,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).alias("__key"), plain_text(F.col(text)).alias("__text"))
     rows = rows.join(F.broadcast(ids), rows["__key"] == ids["__id"])  # at most TRAIN_ROWS rows
     rows = rows.groupBy("__key").agg(F.min("__text").alias("__text"), F.max("__toxic").alias("__toxic")).select("__text", "__toxic")
-    rows = written(rows, "toxicity-sample")
+    rows = written(rows.coalesce(-(-len(sample) // 1000)), "toxicity-sample")  # a task for a thousand texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -252,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 found.update(w[:n] + "*" for w in words for n in PREFIXES if n < len(w))
                 seen[y.as_py()].update(found)
                 seen[y.as_py()][""] += 1
-                if len(seen[0]) + len(seen[1]) > 400_000:
+                if len(seen[0]) + len(seen[1]) > KEPT_WORDS:
                     yield out()
         yield out()
 

@@ -239,6 +239,33 @@ def test_bpe_transducer_over_many_states(monkeypatch):
     assert bpe.Codec(bpe.vocabulary(path)).encode(long[:3000]) == reference.encode(long[:3000], add_special_tokens=False).ids
 
 
+def test_bpe_words_and_states_are_bounded_and_can_be_dropped(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference, codec = Tokenizer.from_file(path), bpe.Codec(bpe.vocabulary(path))
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 10)
+    rng = random.Random(4)
+    for _ in range(3):
+        text = " ".join(rng.choice(["the", "of", "".join(rng.choice("abcdé0") for _ in range(6))]) for _ in range(300))
+        assert codec.encode(text) == reference.encode(text, add_special_tokens=False).ids
+        assert len(codec.known) + len(codec.known.aside) <= 10
+        codec.forget()
+        states = codec.known.transducer
+        assert not codec.known and not codec.known.aside and not states.table and len(states.pieces) == len(states.number) == 1
+
+
+def test_toxicity_learns_the_same_from_small_buffers(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["you idiot" if i % 4 == 0 else "fine", *("".join(rng.choice("abcd") for _ in range(4)) for _ in range(20))])) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 50)
+    parts = toxicity.train(docs, labels)
+    assert whole.patterns and (parts.patterns, parts.weights) == (whole.patterns, whole.weights)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(1)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(200)]
