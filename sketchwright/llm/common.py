@@ -16,6 +16,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it has more than one in so many rows; so there are at most so many hot keys.
 HOT = 1000
+#: Rows of a few numbers that one task writes, at least, where the number of rows is known.
+ROWS_A_FILE = 50_000
 
 _own_dir: list[str] = []
 
@@ -41,9 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about `rows` narrow rows, in no more partitions than hold ROWS_A_FILE each: they grow with the table, not with the shuffle setting."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors.
+
+    rows: about how many narrow rows it has, if known, for files that are not tiny. Each file costs its making, and
+    where Hadoop has no native library a process is forked to set the rights of every single one.
+    """
     spark = df.sparkSession
+    df = df if rows is None else packed(df, rows)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

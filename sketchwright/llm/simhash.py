@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, met, plain_text, whole, written
+from .common import fresh, met, packed, plain_text, whole, written
 from .components import components
 
 #: Blocks of a fingerprint; two with at most DISTANCE differing bits agree in BLOCKS - DISTANCE of them.
@@ -222,13 +222,16 @@ def report(found: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, text: str, key: str, shingle: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, root, component_id) and the columns in keep, a row per row of docs; root is one fp of the component and tells components apart."""
     fps = written(fingerprints(docs, text, key, shingle, keep), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-nodes")
-    found = components(links(written(compared(nodes, distance), "simhash-links")), "simhash-stars")
+    rows = fps.count()
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-nodes", rows)
+    total = nodes.count()
+    found = components(links(compared(nodes, distance)), "simhash-stars", total * len(_tables(F.col("fp"))))
     placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
-    placed = written(placed, "simhash-placed")
+    placed = written(placed, "simhash-placed", total)
     firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    named = met(placed.drop("first_id"), firsts, "root", "members", nodes.count(), F.xxhash64("fp"))
-    return met(fps, written(named, "simhash-named"), "fp", "copies", fps.count(), F.xxhash64("doc_id")).select("doc_id", "fp", "root", "component_id", *keep)
+    named = written(met(placed.drop("first_id"), firsts, "root", "members", total, F.xxhash64("fp")), "simhash-named", total)
+    found = met(fps, named, "fp", "copies", rows, F.xxhash64("doc_id")).select("doc_id", "fp", "root", "component_id", *keep)
+    return packed(found, rows)
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = DISTANCE) -> DataFrame:

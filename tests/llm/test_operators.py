@@ -581,6 +581,29 @@ def test_simhash(docs, rows, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_simhash_writes_files_as_its_rows_need(spark, docs):
+    from pathlib import Path
+
+    from sketchwright.llm.common import shared_dir
+
+    def files():
+        return len(list(Path(shared_dir(spark)).rglob("*.parquet")))
+
+    expected = sorted(simhash.near_groups(docs).collect(), key=repr)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        first = files()
+        found = simhash.near_groups(docs)
+        assert sorted(found.collect(), key=repr) == expected and found.rdd.getNumPartitions() == 1
+        assert files() - first <= 20  # a run with many partitions for few rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_simhash_keeps_each_component_of_shared_ids(spark):
     rng = random.Random(9)
     one, two, three, four, other = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)) for _ in range(5))
