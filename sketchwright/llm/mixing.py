@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, plain_text, written
+from .common import WORDS, fresh, plain_text, written
 
 #: Key ranges for each source. Only the range in which a budget ends is cut, so a source's sort is split this many ways.
 RANGES = 4096
@@ -106,8 +106,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, **how) -> DataFrame:
     def name(column):
         return F.coalesce(column.cast("string"), F.lit(""))
 
-    times = dealt.groupBy(name(F.col("doc_id")).alias("__key"), F.col("tie").alias("__tie"), name(F.col("source")).alias("__source")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    tie = F.xxhash64(plain_text(F.col(text)))
-    marked = docs.select("*", name(F.col(key)).alias("__key"), tie.alias("__tie"), name(F.col(source)).alias("__source"))
-    joined = marked.join(times, ["__key", "__tie", "__source"])
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    k, t, s, times, n = fresh(docs, "__key", "__tie", "__source", "__times", "__n")
+    most = F.max(F.col("taken") / F.col("size")).cast("int").alias(times)
+    taken = dealt.groupBy(name(F.col("doc_id")).alias(k), F.col("tie").alias(t), name(F.col("source")).alias(s)).agg(most)
+    marked = docs.select("*", name(F.col(key)).alias(k), F.xxhash64(plain_text(F.col(text))).alias(t), name(F.col(source)).alias(s))
+    joined = marked.join(taken, [k, t, s])
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
